@@ -66,13 +66,13 @@ def repetitive(t: Text) -> bool:
 
 
 def symbols(t: Text) -> bool:
-    """More than three symbols to ten words, table bars aside."""
-    return 10 * (t.n_symbols - t.raw.count(b"|")) > 3 * t.n_words
+    """More than three symbols to ten words."""
+    return 10 * t.n_symbols > 3 * t.n_words
 
 
 def repeated_lines(t: Text) -> bool:
-    """More than three lines in ten repeat an earlier one."""
-    return 10 * t.n_dup_lines > 3 * (t.raw.count(b"\n") + 1)
+    """More than half of the lines repeat an earlier one."""
+    return 2 * t.n_dup_lines > t.raw.count(b"\n") + 1
 
 
 def word_length(t: Text) -> bool:

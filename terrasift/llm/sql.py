@@ -80,18 +80,16 @@ r as (select doc_id, count(distinct i + k) n from g, (values (0), (1), (2)) o(k)
 m as (
   select x.doc_id, n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars,
     cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols, full_lines - len(kinds) n_dup_lines,
-    cast(coalesce(r.n, 0) as bigint) n_repeat_words, length(t) - length(replace(t, '|', '')) bars, len(ls) n_lines,
+    cast(coalesce(r.n, 0) as bigint) n_repeat_words, len(ls) n_lines,
     length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) upper, length(t) - length(translate(t, 'abcdefghijklmnopqrstuvwxyz', '')) small,
     len(list_distinct(ws)) n_kinds
   from x left join r on r.doc_id = x.doc_id
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * (n_symbols - bars) > 3 * n_words or 10 * n_dup_lines > 3 * n_lines
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > 3 * n_words or 2 * n_dup_lines > n_lines
     or word_chars < 2 * n_words or word_chars > 15 * n_words or upper > small or (n_words <= 5000 and 20 * n_kinds < n_words)) kept
 from m
 """
 
-PII_BASE = None
-
 ORACLES = {"op1_ngram_jaccard_join": OP1, "op3_line_dedup": OP3, "op4_mixing": OP4, "op7_quality_rules": OP7}
