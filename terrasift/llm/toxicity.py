@@ -23,9 +23,13 @@ from terrasift.llm.common import crc_mod, texts, tune
 #: The classifier is fitted on so many labelled training rows at most (those of least id hash).
 MAX_LABELLED = 20_000
 MAX_FEATURES, NEIGHBOURS, BLOCK = 4000, 12, 128
-STARTS = (4, 5, 6)
+STARTS = (3, 4, 5, 6, 7, 8)
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_`~=+/\\"
 THRESHOLD = 0.7
+#: A feature is taken if toxic rows have it so many times as often, with confidence.
+LEAST_LIFT = 3.0
+#: And if its worth (log lift times the root of its toxic rows) is this part of the best one's.
+LEAST_WORTH = 0.15
 
 
 def features_of(word: str) -> list[str]:
@@ -178,8 +182,11 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     counted = rows.mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     lift = F.log(rate("pos", pos)) - F.log(rate("neg", neg))
-    strong = counted.where((F.col("pos") >= max(2, pos // 400)) & (lift >= math.log(6.0)))
+    # The lift less two standard errors: rare features that favour one label by chance stay out.
+    sure = lift - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    strong = counted.where((F.col("pos") >= max(2, pos // 150)) & (sure >= math.log(LEAST_LIFT)))
     top = strong.withColumn("worth", lift * F.sqrt("pos")).orderBy(F.desc("worth"), "feature").limit(MAX_FEATURES).collect()
+    top = [r for r in top if r.worth >= LEAST_WORTH * top[0].worth]
     vectors = Vectors([(r.feature, math.log((pos + neg + 1) / (r.pos + r.neg + 1)) + 1) for r in top])
     sent = spark.sparkContext.broadcast(vectors)
 
