@@ -6,6 +6,7 @@ import numbers
 import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,8 +58,6 @@ def matches(text: Column, pattern: str) -> Column:
     """Whether the whole text matches. Patterns that Java reads as Python does stay in the JVM."""
     re.compile(pattern)
     if PYTHON_ONLY.search(pattern):
-        import pandas as pd
-
         @F.pandas_udf("boolean")
         def full(col: pd.Series) -> pd.Series:
             own = re.compile(pattern)

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrasift.geom import crs as systems
 from terrasift.geom import kernel, wkb
@@ -25,18 +24,23 @@ def geo_type(g: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, v in wkb.NAMES.items() for x in (k, v)]), kind)
 
 
-def _one(returns: T.DataType | str, f: Callable) -> Callable[[Column], Column]:
-    """A function of one geometry; null for null."""
+def lazily(returns: str) -> Callable[[Callable], Callable[..., Column]]:
+    def wrap(f: Callable) -> Callable[..., Column]:
+        return lambda *columns: F.pandas_udf(f, returns)(*columns)
+
+    return wrap
+
+
+def _one(returns: str, f: Callable) -> Callable[[Column], Column]:
+    """A function of one geometry; null for null. The UDF is made when it is called: importing this needs no session."""
 
-    @F.pandas_udf(returns)
     def run(col: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else f(wkb.decode(bytes(x))) for x in col], dtype=object)
 
-    return run
+    return lazily(returns)(run)
 
 
 def _two(returns: str, f: Callable) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf(returns)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         # Neighbouring rows of a join often repeat a side.
         seen: dict[bytes, wkb.Geometry] = {}
@@ -51,7 +55,7 @@ def _two(returns: str, f: Callable) -> Callable[[Column, Column], Column]:
 
         return pd.Series([None if x is None or y is None else f(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
-    return run
+    return lazily(returns)(run)
 
 
 geo_is_empty = _one("boolean", lambda g: bool(wkb.is_empty(g)))
@@ -66,7 +70,7 @@ geo_intersection_area = _two("double", lambda a, b: float(kernel.intersection_ar
 geo_distance = _two("double", lambda a, b: float(kernel.distance(a, b)))
 
 
-@F.pandas_udf(BOX)
+@lazily(BOX)
 def geo_box(col: pd.Series) -> pd.DataFrame:
     """Bounds; nulls for null and empty geometries."""
     rows = [None if x is None else wkb.bounds(wkb.decode(bytes(x))) for x in col]
@@ -84,7 +88,7 @@ def geo_transform(source: int, target: int) -> Callable[[Column], Column]:
     return _one("binary", lambda g: wkb.encode(wkb.mapped(g, lambda xy: systems.transform(xy, source, target))))
 
 
-@F.pandas_udf("struct<empty:boolean,reason:string>")
+@lazily("struct<empty:boolean,reason:string>")
 def geo_state(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Whether a geometry is empty and why it is not valid, in one pass over the column."""
     for col in parts:
@@ -96,24 +100,24 @@ def geo_state(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["empty", "reason"])
 
 
-@F.pandas_udf("binary")
+@lazily("binary")
 def ring_polygon(points: pd.Series) -> pd.Series:
     """WKB of a polygon from a flat array x, y, x, y ... of its closed ring; an empty array is POLYGON EMPTY."""
     return pd.Series([None if p is None else wkb.encode((wkb.POLYGON, [np.asarray(p, float).reshape(-1, 2)] if len(p) else [])) for p in points], dtype=object)
 
 
-@F.pandas_udf("binary")
+@lazily("binary")
 def line_string(points: pd.Series) -> pd.Series:
     """WKB of a line from a flat array x, y, x, y ..."""
     return pd.Series([None if p is None else wkb.encode((wkb.LINE, np.asarray(p, float).reshape(-1, 2))) for p in points], dtype=object)
 
 
-@F.pandas_udf("binary")
+@lazily("binary")
 def point(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([wkb.encode((wkb.POINT, np.array([a, b], float))) for a, b in zip(x, y, strict=True)], dtype=object)
 
 
-@F.pandas_udf("double")
+@lazily("double")
 def round_half_even(x: pd.Series) -> pd.Series:
     """To six decimals as Python's round() does."""
     return pd.Series([None if v is None else round(float(v), 6) for v in x], dtype=float)

@@ -36,7 +36,6 @@ def layer(spark: SparkSession, source: Source) -> LayerFrame:
 
 def _sqlite(spark: SparkSession, source: Source, name: str, shown: str) -> LayerFrame:
     file = re.sub(r"^sqlite:/{0,3}", "", source.connection)
-    file = f"/{file}" if source.connection.startswith("sqlite:////") else file
     with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as db:
         cur = db.execute(source.query or f"SELECT * FROM {quoted(source.table)}")
         columns = [c[0] for c in cur.description]
