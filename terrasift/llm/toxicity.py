@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.common import crc_mod, texts, tune
 
-#: The classifier is fitted on so many labelled training rows at most (those of least id hash).
+#: The classifier is fitted on so many labelled training rows at most (drawn by id hash).
 MAX_LABELLED = 20_000
 MAX_FEATURES, NEIGHBOURS, BLOCK = 4000, 12, 128
 STARTS = (3, 4, 5, 6, 7, 8)
@@ -30,6 +30,8 @@ THRESHOLD = 0.7
 LEAST_LIFT = 3.0
 #: And if its worth (log lift times the root of its toxic rows) is this part of the best one's.
 LEAST_WORTH = 0.15
+#: More votes never lower a score.
+LEAST_SLOPE = 0.05
 
 
 def features_of(word: str) -> list[str]:
@@ -142,7 +144,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
         s = weight * p * (1 - p)
         h = np.array([[(s * x * x).sum() + 0.01, (s * x).sum()], [(s * x).sum(), s.sum() + 0.01]])
         a, b = np.array([a, b]) - np.linalg.solve(h, g)
-    return float(max(a, 0.05)), float(b)
+    if a < LEAST_SLOPE:
+        # Votes that tell nothing: what remains is the share of label 1.
+        a, b = LEAST_SLOPE, 0.0
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+            b -= ((weight * (p - y)).sum() + 0.01 * b) / ((weight * p * (1 - p)).sum() + 0.01)
+    return float(a), float(b)
 
 
 def logit(v: np.ndarray | float) -> np.ndarray | float:
@@ -173,7 +181,10 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """A model from labelled rows outside the held-out fold. Without label 1 or without label 0 every score is 0."""
     spark = docs.sparkSession
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
+    n = own.count()
+    if n > max_labelled:
+        # A little less than the bound, as hashes spread by chance.
+        own = own.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_labelled / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
