@@ -11,12 +11,14 @@ from terrasift.config import TopologyRule
 from terrasift.functions.geo import geo_area, geo_ends, geo_intersection_area, geo_is_empty, geo_repair, geo_type, round_half_even
 from terrasift.geom import kernel, wkb
 from terrasift.model import FID, CheckResult, Issue, LayerFrame, Status
-from terrasift.operators.components import labelled
-from terrasift.operators.spatial_join import flagged, pairs
+from terrasift.operators.components import ensure_checkpoint_dir, labelled
+from terrasift.operators.spatial_join import boxed, cell_width, flagged, pairs
 
 POLYGONS, LINES = ("Polygon", "MultiPolygon"), ("LineString", "MultiLineString")
 #: Shared areas up to this part of the larger polygon are rounding.
 NOISE = 1e-9
+#: A tile's width in cells of the join's grid, and polygons united at once.
+TILE, PART = 8, 1000
 
 
 def run(frame: LayerFrame, layer: str, source: str, rule: TopologyRule) -> list[CheckResult]:
@@ -69,21 +71,46 @@ def _overlaps(polygons: DataFrame, rule: TopologyRule, out: Results) -> None:
     out.add("no_overlaps", message, total, n, issues=issues, failing=found.select(F.col("l").alias(FID)).distinct())
 
 
+def dissolved(polygons: DataFrame) -> DataFrame:
+    """(_fid, g): unions of neighbouring polygons, a tile at a time; a tile of many polygons is united in parts.
+
+    Union is associative, so any cut will do. Inner edges vanish, and what is left to unite grows with the tiles'
+    outlines instead of their content.
+    """
+    boxes = boxed(polygons, "g")
+    found = cell_width(boxes)
+    if found is None:
+        return polygons.select(FID, "g")
+    b, width = F.col("box"), found[0] * TILE
+    rows = boxes.withColumn("tx", F.floor((b["xmin"] + b["xmax"]) / 2 / width)).withColumn("ty", F.floor((b["ymin"] + b["ymax"]) / 2 / width))
+    sizes = rows.groupBy("tx", "ty").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    rows = rows.join(sizes, ["tx", "ty"]).withColumn("part", F.pmod(F.xxhash64(FID), F.col("parts")))
+
+    def unite(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(FID)
+        whole = kernel.united([wkb.decode(bytes(x)) for x in part["g"]])
+        return pd.DataFrame({FID: [int(part[FID].iloc[0])], "g": [wkb.encode(whole)]})
+
+    return rows.select(FID, "g", "tx", "ty", "part").groupBy("tx", "ty", "part").applyInPandas(unite, f"{FID} long, g binary")
+
+
 def gap_areas(polygons: DataFrame) -> DataFrame:
     """(component, area) of the interior rings of the union of all polygons.
 
-    A ring belongs to one connected part, so each component of touching polygons is dissolved on its own. Alone
-    or simple components never leave their rows' place; the kernel gets one component at a time.
+    Polygons are dissolved by tiles first. A ring belongs to one connected part, so each component of what is left
+    is then dissolved on its own; one coverage of all land is one component, of the tiles' outlines.
     """
-    box = pairs(polygons, FID, "g")
-    labels = labelled(polygons.select(F.col(FID).alias("id")), box.select("l", "r"))
-    rows = polygons.join(labels, F.col(FID) == F.col("id")).select("component", FID, "g")
+    ensure_checkpoint_dir(polygons)
+    tiles = dissolved(polygons).checkpoint()
+    box = pairs(tiles, FID, "g")
+    labels = labelled(tiles.select(F.col(FID).alias("id")), box.select("l", "r"))
+    rows = tiles.join(labels, F.col(FID) == F.col("id")).select("component", FID, "g")
 
-    def dissolve(part: pd.DataFrame) -> pd.DataFrame:
+    def holes(part: pd.DataFrame) -> pd.DataFrame:
         found = kernel.holes_of_union([wkb.decode(bytes(x)) for x in part.sort_values(FID)["g"]])
         return pd.DataFrame({"component": part["component"].iloc[0], "area": found}, columns=["component", "area"]).astype({"component": "int64", "area": "float64"})
 
-    return rows.groupBy("component").applyInPandas(dissolve, "component long, area double")
+    return rows.groupBy("component").applyInPandas(holes, "component long, area double")
 
 
 def _gaps(polygons: DataFrame, rule: TopologyRule, out: Results) -> None:

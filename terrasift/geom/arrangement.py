@@ -8,8 +8,10 @@ CHUNK = 2_000_000
 
 
 def close_pairs(s: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of segments [n, 4] whose boxes meet, by a sweep over x."""
+    """Pairs i < j of segments [n, 4] whose boxes meet, by a sweep over the wider axis."""
     lo, hi = np.minimum(s[:, :2], s[:, 2:]) - slack, np.maximum(s[:, :2], s[:, 2:]) + slack
+    if len(s) and np.ptp(lo[:, 1]) > np.ptp(lo[:, 0]):
+        lo, hi = lo[:, ::-1], hi[:, ::-1]
     order = np.argsort(lo[:, 0], kind="stable")
     lo, hi = lo[order], hi[order]
     last = np.searchsorted(lo[:, 0], hi[:, 0], "right")
@@ -24,10 +26,12 @@ def close_pairs(s: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
         i = np.repeat(own, c)
         j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         meet = (lo[i, 1] <= hi[j, 1]) & (lo[j, 1] <= hi[i, 1])
-        out_i.append(order[i[meet]])
-        out_j.append(order[j[meet]])
+        a, b = order[i[meet]], order[j[meet]]
+        out_i.append(np.minimum(a, b))
+        out_j.append(np.maximum(a, b))
         start += n
-    return np.concatenate(out_i), np.concatenate(out_j)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(out_i or none), np.concatenate(out_j or none)
 
 
 def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
