@@ -46,14 +46,15 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
         .withColumn("rest_w", F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("rest_w"))
         .withColumn("fits", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-        .withColumn("level", F.min("fits").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        # The first source that fits sets the level; those after it fit at lower ones.
+        .withColumn("level", F.max("fits").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
         .withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))))
     )
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    top = F.col("most_root") * F.col("source_size") / F.col("root_size").cast("double")
+    top = F.try_divide(F.col("most_root") * F.col("source_size"), F.col("root_size").cast("double"))
     # The part of the expectation that follows the length: as much as keeps the longest document within `most`.
-    lean = F.when((F.col("source_size") > 0) & (top > 1) & (F.col("rate") > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (most / F.col("rate") - 1) / (top - 1)))).otherwise(0.0)
-    return filled.withColumn("rate", r).withColumn("lean", lean).select("source", "source_size", "target", "rate", "lean", (F.col("source_size") / F.col("root_size").cast("double")).alias("per_root"))
+    lean = F.when((F.col("source_size") > 0) & (top > 1) & (F.col("rate") > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(most / F.col("rate") - 1, top - 1)))).otherwise(0.0)
+    return filled.withColumn("rate", r).withColumn("lean", lean).select("source", "source_size", "target", "rate", "lean", F.try_divide(F.col("source_size"), F.col("root_size").cast("double")).alias("per_root"))
 
 
 def uniform(seed: str) -> Column:
@@ -86,9 +87,10 @@ def allocated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
         .withColumn("whole", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("whole"))
         .withColumn("v", F.when(F.col("p") > 0, F.log(u / (1 - u)) - F.log(F.col("p") / (1 - F.col("p")))))
-        .withColumn("v", F.greatest(F.lit(-LIMIT + 1.0), F.least(F.lit(LIMIT - 1.0), F.col("v"))))
-        .withColumn("coarse", F.when(F.col("p") > 0, F.floor((F.col("v") + LIMIT) * COARSE)))
-        .withColumn("fine", F.when(F.col("p") > 0, F.floor((F.col("v") + LIMIT) * FINE)))
+        # greatest and least skip nulls, which stay: a document without a fraction isn't ranked.
+        .withColumn("v", F.when(F.col("v").isNotNull(), F.greatest(F.lit(-LIMIT + 1.0), F.least(F.lit(LIMIT - 1.0), F.col("v")))))
+        .withColumn("coarse", F.floor((F.col("v") + LIMIT) * COARSE))
+        .withColumn("fine", F.floor((F.col("v") + LIMIT) * FINE))
         .select("doc_id", "source", "size", "source_size", "target", "whole", "v", "coarse", "fine")
     )
     whole_words = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))

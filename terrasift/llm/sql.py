@@ -47,7 +47,7 @@ with s as (
     coalesce(sum(source_size * 3.0::double) over (order by source_size * 3.0::double / w, source nulls last rows between unbounded preceding and 1 preceding), 0) capped,
     sum(w) over (order by source_size * 3.0::double / w, source nulls last rows between current row and unbounded following) rest_w from b
 ), g as (
-  select *, min(case when (total - capped) / rest_w * w <= cap then (total - capped) / rest_w end) over () level from f
+  select *, max(case when (total - capped) / rest_w * w <= cap then (total - capped) / rest_w end) over () level from f
 ), t as (
   select source, source_size, root_size, most_root, least(cap, coalesce(level * w, cap)) target from g
 ), r as (
