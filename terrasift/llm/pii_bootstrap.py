@@ -69,7 +69,7 @@ def is_phone(m: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, and the base spans of each kind; tokens: identifier-like tokens with the two words before."""
+    """rid, doc_id, and the base spans of each kind; tokens: those and other identifier-like tokens, with the words before."""
     t = F.col("__t")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__t"))
     found = rows.select(
@@ -82,19 +82,22 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
     core = lambda x: F.regexp_extract(x["m"], "[A-Za-z0-9].*[A-Za-z0-9]", 0)
 
-    def context(x: Column) -> Column:
-        before = F.lower(F.substring(t, F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80))))
+    def instance(start: Column, text: Column, seed: bool) -> Column:
+        before = F.lower(F.substring(t, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80))))
         words = F.filter(F.split(F.regexp_extract(before, r"(\S+\s+)?\S+\s*$", 0), r"\s+"), lambda w: w != "")
         return F.struct(
-            (x["s"] + F.instr(x["m"], core(x)) - 1).alias("s"), (x["s"] + F.instr(x["m"], core(x)) - 1 + F.length(core(x))).alias("e"),
-            F.lower(core(x)).alias("m"), F.element_at(F.concat(F.array(F.lit("")), words), -1).alias("one"), F.array_join(words, " ").alias("two"),
+            start.alias("s"), (start + F.length(text)).alias("e"), F.lower(text).alias("m"),
+            F.element_at(F.concat(F.array(F.lit("")), words), -1).alias("one"), F.array_join(words, " ").alias("two"), F.lit(seed).alias("seed"),
         )
 
     tokens = F.filter(F.col("token"), lambda x: (F.length(core(x)) >= MIN_CHARS) & (F.length(digits(x["m"])) >= MIN_DIGITS))
-    return found.select(
-        "rid", "doc_id", "email", F.filter("ip", lambda x: is_ip(x["m"])).alias("ip"), F.filter("card", lambda x: is_card(x["m"])).alias("card"),
-        F.filter("phone", lambda x: is_phone(x["m"])).alias("phone"), F.transform(tokens, context).alias("tokens"),
+    found = found.select(
+        "rid", "doc_id", "__t", "email", F.filter("ip", lambda x: is_ip(x["m"])).alias("ip"), F.filter("card", lambda x: is_card(x["m"])).alias("card"),
+        F.filter("phone", lambda x: is_phone(x["m"])).alias("phone"), tokens.alias("token"),
     )
+    seeds = F.transform(F.concat(*KINDS[:4]), lambda x: instance(x["s"], x["m"], True))
+    others = F.transform("token", lambda x: instance((x["s"] + F.instr(x["m"], core(x)) - 1).cast("int"), core(x), False))
+    return found.select("rid", "doc_id", *KINDS[:4], F.concat(seeds, others).alias("tokens"))
 
 
 def labelled(kind: str) -> Column:
@@ -104,12 +107,8 @@ def labelled(kind: str) -> Column:
 def discovered(docs: DataFrame, base: DataFrame) -> DataFrame:
     """rid and array `id` of (s, e) of tokens that confident patterns add. base: scanned() with column `spans`, all base spans in order."""
     inst = base.where(F.size("tokens") > 0).select("rid", F.explode("tokens").alias("x"), "spans")
-    inst = inst.select(
-        "rid", "x.*", F.exists("spans", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s"))).alias("seed"),
-        F.exists("spans", lambda b: (b["s"] >= F.col("x.s") - 2) & (b["s"] <= F.col("x.s"))).alias("first"),
-    )
-    # Parts of a seed after its first follow the seed itself, not its context.
-    inst = inst.where(~F.col("seed") | F.col("first"))
+    known = F.exists("spans", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
+    inst = inst.where(F.col("x.seed") | ~known).select("rid", "x.*")
     pairs = stored(inst.select("rid", "s", "e", "m", "seed", F.explode(F.array_distinct(F.array("one", "two"))).alias("p")).where("p <> ''"), "pairs")
     strong = pairs.where("seed").groupBy("p").agg(F.countDistinct("m").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("p")
     strong = stored(strong, "patterns")
