@@ -78,4 +78,4 @@ def _fuzzy(frame: LayerFrame, rule: FuzzyRule, out: Results) -> None:
             issues.append(Issue(f"near-duplicate within {r.distance:.3g} m", r.l, {"other": r.r, "distance": round(r.distance, 6)}, r.l))
     failing = found.select(F.col("l").alias(FID)).distinct()
     message = f"{n} features look like near-duplicates (predicate={rule.predicate})." if n else "No fuzzy/near duplicates found."
-    out.add("fuzzy", f"{message} [{note}]" if note else message, total, n, issues=issues, failing=failing)
+    out.add("fuzzy", f"{message} [{note}]" if note else message, total, n, issues=issues, failing=failing, cached=found)

@@ -68,7 +68,7 @@ def _overlaps(polygons: DataFrame, rule: TopologyRule, out: Results) -> None:
         return
     issues = [Issue(f"overlap area={r.area:.6g}", r.l, {"other": r.r, "area": r.area}, r.l) for r in found.orderBy("l", "r").limit(ISSUES).collect()]
     message = f"{n} polygon(s) overlap one another." if n else "No overlapping polygons."
-    out.add("no_overlaps", message, total, n, issues=issues, failing=found.select(F.col("l").alias(FID)).distinct())
+    out.add("no_overlaps", message, total, n, issues=issues, failing=found.select(F.col("l").alias(FID)).distinct(), cached=found)
 
 
 def dissolved(polygons: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _gaps(polygons: DataFrame, rule: TopologyRule, out: Results) -> None:
     n = found.count()
     rows = found.orderBy("component", "area").limit(ISSUES).collect() if n else []
     message = f"{n} gap(s) found between dissolved polygons." if n else "No gaps between polygons."
-    out.add("no_gaps", message, total, n, issues=[Issue(f"gap (interior hole) area={r.area:.6g}", detail={"area": r.area}) for r in rows])
+    out.add("no_gaps", message, total, n, issues=[Issue(f"gap (interior hole) area={r.area:.6g}", detail={"area": r.area}) for r in rows], cached=found)
 
 
 def dangling_ends(lines: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -145,4 +145,4 @@ def _dangles(work: DataFrame, rule: TopologyRule, out: Results) -> None:
     n = found.count()
     issues = [Issue(f"dangling endpoint at ({r.x:.3f}, {r.y:.3f})", r.fid, {"x": r.x, "y": r.y}, r.fid) for r in found.orderBy("fid", "x", "y").limit(ISSUES).collect()]
     message = f"{n} dangling line endpoint(s) detected." if n else "No dangling endpoints."
-    out.add("no_dangles", message, total, n, issues=issues, failing=found.select(F.col("fid").alias(FID)).distinct())
+    out.add("no_dangles", message, total, n, issues=issues, failing=found.select(F.col("fid").alias(FID)).distinct(), cached=found)

@@ -82,6 +82,9 @@ def run_layer(suite: Suite, layer: LayerFrame, fix_file: Path | None = None, col
         out.results.append(_write_fixed(frame, fix_file))
     if collect_failures:
         out.failures = collected(frame, out.results)
+    for r in out.results:
+        if r.cached is not None:
+            r.cached.unpersist()
     return out
 
 
