@@ -11,10 +11,10 @@ share fewer than m - D tokens can't be linked, whatever their shingles' frequenc
 several shingles, so a passage or line that many documents share rarely makes a cell of its own, and a document
 with fewer shared tokens than it needs for a link leaves before anything is compared.
 
-Two rounds keep the work linear in a group of copies. In the first, each token's documents are compared with the
-smallest of them only; linked ones form components, cut into groups of bounded size. In the second, the matrix
-joins documents with the groups of other components alone. Links within a component change no result and are
-not looked for.
+Stars come first, so that the work stays linear in a group of copies: each token's documents are compared with one
+of them only, in two turns. Linked ones form components, cut into groups of bounded size, and the matrix joins
+documents with the groups of other components alone. Links within a component change no result and are not
+looked for.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrasift.llm.common import _MIX, dropped, mixed, shingles, stored, texts, tune
@@ -35,14 +36,16 @@ GROUP_MEMBERS, GROUP_QUERIES = 64, 512
 #: Ids up to this number (16 MB) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 CLASS_RATIO = 1.5
+#: Spare cells of the matrix, as a part of those that may differ.
+FINE = 2.0
 META = 1 << 20
 
 
 class Scheme:
-    """The cells of each size class for one threshold num / den."""
+    """The cells of each size class for one threshold num / den; spare: cells beyond the most that may differ, as a part of these."""
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, spare: float = 1 / 6) -> None:
+        self.num, self.den, self.spare = num, den, spare
         low = [1]
         while low[-1] < 1 << 40:
             low.append(max(low[-1] + 1, int(low[-1] * CLASS_RATIO)))
@@ -67,7 +70,7 @@ class Scheme:
             apart = self.most_apart(2 * top)
             if not apart:
                 continue
-            m = apart + max(2, apart // 6)
+            m = apart + max(2, int(apart * self.spare))
             cell = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
             sums = np.add.reduceat(mixed(h ^ _MIX), starts)
@@ -198,6 +201,51 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _star_links(docs: DataFrame, tokens: DataFrame, order: Column, k: int, scheme: Scheme) -> DataFrame:
+    """Links between each token's documents and its pivot, the first in an order, unless one component has both."""
+    pivots = tokens.groupBy("token").agg(F.min_by(F.struct("doc", "comp"), order).alias("pivot"))
+    stars = tokens.join(pivots, "token").where(F.col("comp") != F.col("pivot.comp")).select("doc", "comp", F.col("pivot.doc").alias("g"), F.col("pivot.comp").alias("of")).distinct()
+    stars = stored(stars, "stars")
+    leaders = stars.select("g", F.col("g").alias("doc"), F.col("of").alias("comp")).distinct()
+    return opened(docs, leaders, stars.select("g", "doc", "comp"), k, scheme)
+
+
+def _labelled(tokens: DataFrame, comp: DataFrame) -> DataFrame:
+    """tokens with their document's component so far, less the tokens that one component has to itself."""
+    out = tokens.join(comp.select(F.col("id").alias("doc"), F.col("component")), "doc", "left").select("token", "doc", "meta", F.coalesce("component", "doc").alias("comp"))
+    several = out.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
+    return out.join(several, "token", "left_semi")
+
+
+def _matrix_links(docs: DataFrame, labelled: DataFrame, sizes: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """Links between documents and groups of other components, by the token-group matrix.
+
+    A document that must share `need` of its n tokens with a group shares one of its n - need + 1 rarest, so only
+    those look for groups. The overlap with each group found is then counted over all tokens, and only groups
+    with `need` are opened.
+    """
+    docs_of = labelled.select("doc", "comp").distinct()
+    chunks = docs_of.groupBy("comp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).alias("chunks"))
+    groups = stored(docs_of.join(chunks, "comp").select("doc", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.col("chunks"))).alias("g")).join(sizes, "doc"), "groups")
+    spans = groups.groupBy("g").agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"))
+    matrix = stored(labelled.join(groups.select("doc", "g"), "doc").select("token", "g", F.col("comp").alias("g_comp")).distinct().join(spans, "g"), "matrix")
+    often = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    own = W.partitionBy("doc", "meta")
+    rare = (
+        labelled.join(often, "token").join(sizes, "doc")
+        .withColumn("nth", F.row_number().over(own.orderBy("groups", "token"))).withColumn("n", F.count("*").over(own))
+        .where(F.col("nth") <= F.col("n") - F.col("meta") % META + 1)
+    )
+    fits = (F.col("g_hi") * scheme.den >= F.col("lo") * scheme.num) & (F.col("hi") * scheme.den >= F.col("g_lo") * scheme.num)
+    found = rare.join(matrix, "token").where((F.col("comp") > F.col("g_comp")) & fits).select("doc", "comp", "meta", "g").distinct()
+    rows = labelled.groupBy("doc", "meta").agg(F.collect_list("token").alias("own"))
+    unions = matrix.groupBy("g").agg(F.collect_list("token").alias("union"))
+    overlap = found.join(rows, ["doc", "meta"]).join(unions, "g").where(F.size(F.array_intersect("own", "union")) >= F.col("meta") % META)
+    overlap = stored(overlap.select("g", "doc", "comp").distinct(), "overlap")
+    members = groups.join(overlap.select("g").distinct(), "g", "left_semi").select("g", "doc", "comp")
+    return opened(docs, members, overlap, k, scheme)
+
+
 def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the components of all links num/den or more similar.
 
@@ -214,34 +262,23 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     reps = known.join(classes.select("s1", "s2", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
     tokens = shared_tokens(reps)
 
-    # First round: each token's documents against the smallest.
-    pivots = tokens.groupBy("token").agg(F.min("doc").alias("pivot"))
-    stars = tokens.join(pivots, "token").where(F.col("doc") != F.col("pivot")).select("doc", "pivot").distinct()
-    stars = stored(stars, "stars")
-    first = opened(
-        docs, stars.select("pivot").distinct().select(F.col("pivot").alias("g"), F.col("pivot").alias("doc"), F.col("pivot").alias("comp")),
-        stars.select(F.col("pivot").alias("g"), "doc", F.col("doc").alias("comp")), k, scheme,
-    )
-    comp = components(first)
-
-    # Second round: documents against the groups of other components.
-    labelled = tokens.join(comp.select(F.col("id").alias("doc"), F.col("component")), "doc", "left").select("token", "doc", "meta", F.coalesce("component", "doc").alias("comp"))
-    mixed_tokens = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    labelled = stored(labelled.join(mixed_tokens, "token", "left_semi"), "labelled")
-    docs_of = labelled.select("doc", "comp").distinct()
-    chunks = docs_of.groupBy("comp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).alias("chunks"))
-    groups = stored(docs_of.join(chunks, "comp").select("doc", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.col("chunks"))).alias("g")), "groups")
-    matrix = labelled.join(groups.select("doc", "g"), "doc").select("token", "g", F.col("comp").alias("g_comp")).distinct()
-    overlap = (
-        labelled.join(matrix, "token").where(F.col("comp") > F.col("g_comp"))
-        .groupBy("doc", "comp", "meta", "g").agg(F.count("*").alias("c"))
-        .where(F.col("c") >= F.col("meta") % META).select("g", "doc", "comp").distinct()
-    )
-    overlap = stored(overlap, "overlap")
-    second = opened(docs, groups.join(overlap.select("g").distinct(), "g", "left_semi").select("g", "doc", "comp"), overlap, k, scheme)
+    # Stars: each token's documents against one of them, at first the smallest, then another where components differ.
+    links = _star_links(docs, tokens.withColumn("comp", F.col("doc")), F.col("doc"), k, scheme)
+    labelled = _labelled(tokens, components(links))
+    links = links.unionByName(_star_links(docs, labelled, F.xxhash64("doc", "token"), k, scheme))
+    comp = components(links)
+    # Documents that may have links left get finer cells, of which a link has many in common and other pairs few.
+    left = stored(_labelled(tokens, comp).select("doc").distinct(), "left")
+    fine_sets = stored(sketches(_pick(docs, left).withColumnRenamed("doc", "doc_id"), k, Scheme(num, den, FINE)), "fine")
+    fine = shared_tokens(fine_sets)
+    sizes = fine_sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    labelled = _labelled(fine, comp)
+    enough = labelled.groupBy("doc", "meta").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("meta") % META).select("doc", "meta")
+    labelled = stored(labelled.join(enough, ["doc", "meta"], "left_semi"), "labelled")
+    links = links.unionByName(_matrix_links(docs, labelled, sizes, k, scheme))
 
     same = known.join(classes.select("s1", "s2", F.col("doc_id").alias("rep")), ["s1", "s2"]).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(first.unionByName(second).unionByName(same))
+    final = components(links.unionByName(same))
     out = all_sets.select("doc_id", "n").join(final, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -258,8 +295,6 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     twice = comp.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     if not twice.head(1):
         return kept
-    from pyspark.sql import Window as W
-
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     once = kept.where(F.col("doc_id").isNotNull()).withColumn("__n", n).where("__n = 1").drop("__n")
     return once.unionByName(kept.where(F.col("doc_id").isNull()))
