@@ -15,13 +15,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in ten documents or more go; documents that had text and lose all of it go too. n_chars follows the text."""
+    """Lines in ten different texts or more go, but no row: copies are the next stage's. n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    out = line_runs.without_shared_lines(docs)
-    stay = (F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    out = line_runs.without_shared_lines(docs, by_text=True)
     n = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(stay).withColumn("n_chars", n).select(*docs.columns)
+    return out.withColumn("n_chars", n).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,45 +84,57 @@ class SortedRuns:
         return self.settled if found is None else self.settled.unionByName(found)
 
 
-def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4) -> DataFrame:
+def text_key() -> list[Column]:
+    """128 bits of the keys of a text's lines that are not empty: texts that differ in case or outer white space share them."""
+    keys = F.filter(F.transform(F.split(text_or_empty(), "\n", -1), line_key), lambda k: F.length(k) > 0)
+    return [F.xxhash64(keys).alias("t1"), F.xxhash64(F.lit(7), keys).alias("t2")]
+
+
+def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, by_text: bool = False) -> DataFrame:
     """docs' rows as r1, r2, and drop: the sorted positions of the lines to drop (only rows that lose a line).
 
-    Each row of docs counts as one document, a line once in each.
+    Each row of docs counts as one document, a line once in each. With by_text, rows of equal text_key() count as one
+    document together.
     """
     spark = docs.sparkSession
     t = text_or_empty()
+    of = ["t1", "t2"] if by_text else ["r1", "r2"]
     lines = (
-        docs.select(*row_key(), F.posexplode(F.transform(F.split(t, "\n", -1), line_hash)).alias("pos", "h"))
+        docs.select(*row_key(), *(text_key() if by_text else []), F.posexplode(F.transform(F.split(t, "\n", -1), line_hash)).alias("pos", "h"))
         .where(F.col("h").isNotNull())
-        .select("r1", "r2", "pos", "h.h1", "h.h2", (F.pmod(F.col("r1"), F.lit(n_batches))).cast("int").alias("batch"))
+        .select("r1", "r2", *(of if by_text else []), "pos", "h.h1", "h.h2", (F.pmod(F.col(of[0]), F.lit(n_batches))).cast("int").alias("batch"))
     )
     lines = stored(lines, "lines", ("batch",))
     runs = SortedRuns(spark, min_docs)
-    # A row repeated as a whole holds each of its lines at one position as often as it is repeated.
-    of_docs = lines.groupBy("batch", "h1", "h2", "r1", "r2").agg(F.count("*").alias("lines"), F.countDistinct("pos").alias("places"))
+    if by_text:
+        of_docs = lines.groupBy("batch", *HASH, *of).agg(F.lit(1).cast("long").alias("docs"))
+    else:
+        # A row repeated as a whole holds each of its lines at one position as often as it is repeated.
+        of_docs = lines.groupBy("batch", *HASH, *of).agg((F.count("*") / F.countDistinct("pos")).cast("long").alias("docs"))
     for k in range(n_batches):
-        batch = of_docs.where(F.col("batch") == k).groupBy(*HASH).agg(F.sum((F.col("lines") / F.col("places")).cast("long")).alias("n"))
+        batch = of_docs.where(F.col("batch") == k).groupBy(*HASH).agg(F.sum("docs").alias("n"))
         runs.add(batch)
     frequent = stored(runs.frequent(), "frequent")
-    # A key in a large share of all documents would fill one task of a shuffled join; there are few such keys.
+    # A key in a large share of all documents, to be dropped or not, would fill one task of a shuffled join; there are few such keys.
     n_docs = docs.count()
     often = F.col("n") >= max(min_docs, n_docs // HOT_SHARE)
-    totals = lines.groupBy(*HASH).agg(F.count("*").alias("n")).where(often)
-    hot = stored(totals.join(frequent.select(*HASH), HASH, "left_semi").select(*HASH), "hot")
+    many = stored(lines.groupBy(*HASH).agg(F.count("*").alias("n")).where(often).select(*HASH), "many")
+    hot = stored(many.join(frequent.select(*HASH), HASH, "left_semi"), "hot")
     cold = frequent.join(F.broadcast(hot), HASH, "left_anti").select(*HASH)
-    few = F.broadcast(hot)
-    gone = lines.join(few, HASH, "left_semi").unionByName(lines.join(few, HASH, "left_anti").join(cold, HASH, "left_semi"))
+    rare = lines.join(F.broadcast(many), HASH, "left_anti")
+    gone = lines.join(F.broadcast(hot), HASH, "left_semi").unionByName(rare.join(cold, HASH, "left_semi"))
     return gone.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
-def without_shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4) -> DataFrame:
+def without_shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, by_text: bool = False) -> DataFrame:
     """docs with `text` less the lines whose key at least min_docs documents hold, and columns n_lines, n_dropped.
 
     A null or empty text is one empty line and stays; an empty key is never dropped. A text that loses all its
     lines becomes empty. Repeated rows count as documents each and keep equal results; null ids are ids like
     others. Columns n_lines and n_dropped of docs are replaced, all others stay. An empty table stays empty.
+    With by_text, rows of equal text (but for case and white space around lines) count as one document.
     """
-    gone = shared_lines(docs, min_docs, n_batches).withColumnsRenamed({"r1": "__r1", "r2": "__r2", "drop": "__drop"})
+    gone = shared_lines(docs, min_docs, n_batches, by_text).withColumnsRenamed({"r1": "__r1", "r2": "__r2", "drop": "__drop"})
     r1, r2 = row_key()
     kept = docs.drop("n_lines", "n_dropped")
     out = kept.join(gone, (r1 == F.col("__r1")) & (r2 == F.col("__r2")), "left")

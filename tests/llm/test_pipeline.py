@@ -44,3 +44,17 @@ def test_run_and_edges(spark, docs):
         odd = stage(spark, odd, SF)
         assert odd.columns == COLUMNS
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
+
+
+def test_copies_reach_the_join_and_no_row_is_lost(spark, docs):
+    copy = "a line of the copies\nand another one of them"
+    rows = [(i, copy + ("" if i % 2 else " \n")) for i in range(24)]
+    rows += [(100 + i, f"Boilerplate\nown words of text {i}") for i in range(12)] + [(200, "boilerplate"), (201, ""), (202, None)]
+    given = docs(rows).drop("n", "token")
+    out = {r.doc_id: r for r in corpus_pipeline.drop_shared_lines(spark, given, SF).collect()}
+    assert set(out) == {r[0] for r in rows}
+    assert all(out[i].text == t and out[i].n_chars == len(t) for i, t in rows[:24])
+    assert all((out[100 + i].text, out[100 + i].n_chars) == (f"own words of text {i}", len(f"own words of text {i}")) for i in range(12))
+    assert (out[200].text, out[200].n_chars, out[201].text, out[202].text) == ("", 0, "", None)
+    left = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(list(out.values()), given.schema), SF)
+    assert [r.doc_id for r in left.collect() if r.doc_id < 24] == [0]
