@@ -173,3 +173,42 @@ def test_choices_never_contradict():
         p = rng.dirichlet([1, 1, 1], len(nodes))
         kinds = own.chosen(nodes, np.log(p))
         assert all(kinds[x.parent] in (dom_boost.MIXED, kinds[i]) for i, x in enumerate(nodes) if x.parent >= 0)
+
+
+def test_lm_vocabulary_grows_and_no_word_is_outside():
+    words = [(f"w{i}", 40_000 // (i + 1) + 1) for i in range(6000)] + [("", 500)]
+    tokens, tails = sum(c for _, c in words), [[0, 0] for _ in range(recurrent_lm.n_tails(10**6))]
+    for w, c in words[:-1]:
+        t = tails[zlib.crc32(w.encode()) % len(tails)]
+        t[0], t[1] = t[0] + c, t[1] + 1
+    small, large = recurrent_lm.Lexicon(words, 10**4, len(words), tails), recurrent_lm.Lexicon(words, 10**6, len(words), tails)
+    assert 800 < large.size - large.n_tails - 1 == recurrent_lm.n_symbols(10**6) > 3 * recurrent_lm.n_symbols(10**4)
+    assert small.size < large.size and tokens < 10**6
+    shape = recurrent_lm.Shape(large.size, large.n_classes, recurrent_lm.WIDTH)
+    net = recurrent_lm.Network(large, shape, large.first_model(shape))
+    logp, _, _ = net.output(np.ones((large.size, recurrent_lm.WIDTH), np.float32), np.arange(large.size), False)
+    # All words seen, the end, and one unseen word of each tail.
+    unseen = {zlib.crc32(f"new{i}".encode()) % large.n_tails: f"new{i}" for i in range(20_000)}
+    assert len(unseen) == large.n_tails
+    every = [w.encode() for w, _ in words[:-1]] + [w.encode() for w in unseen.values()]
+    ids = np.array([large.index.get(w, -1) for w in every])
+    symbols = large.symbols(ids, every)
+    add_one = np.where(large.is_tail[symbols[:-1]], large.log_count[ids] - large.log_rest[symbols[:-1]], 0.0)
+    assert (np.exp(logp[symbols[:-1]]) * 10**add_one).sum() + np.exp(logp[symbols[-1]]) == pytest.approx(1, abs=1e-4)
+    assert len(set(symbols[-1 - len(unseen) : -1])) == large.n_tails > 1
+
+
+def test_lm_rounds_go_on_from_the_average(docs, monkeypatch):
+    lex, seen, real = lexicon(), [], recurrent_lm.one_round
+
+    def one_round(part, lexicon, start, kept):
+        out = real(part, lexicon, start, kept)
+        seen.append((start, *out, {r.doc_id for r in part.select("doc_id").collect()}))
+        return out
+
+    monkeypatch.setattr(recurrent_lm, "one_round", one_round)
+    last = recurrent_lm.trained(docs([(i, f"w1 w2 w{i % 7} x{i}") for i in range(60)]), lex)
+    assert len(seen) == recurrent_lm.ROUNDS > 1 and (seen[-1][1] == last).all()
+    for a, b in zip(seen, seen[1:], strict=False):
+        assert (a[1] == b[0]).all() and (a[0] != a[1]).any() and not a[3] & b[3]
+    assert set().union(*[s[3] for s in seen]) == set(range(60))
