@@ -1,7 +1,7 @@
 """Byte-level BPE by a segment tree over the ranks of adjacent pairs.
 
 The root of the tree gives the leftmost pair of the lowest rank. A merge changes three leaves and their
-ancestors, so a piece of n bytes takes O(n log n) at most, also where it has no white space at all.
+ancestors, in one walk up, so a piece of n bytes takes O(n log n) at most, also where it has no white space at all.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from terrasift.llm.common import tune
 
 #: Fixed value: the pattern by which byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces are remembered up to this length, this many at once.
-KEEP_LENGTH, KEEP_PIECES = 48, 300_000
-NEVER = 1 << 62
+#: Pieces are remembered up to this length, two generations of so many (some 50 MB a worker).
+KEEP_LENGTH, KEEP_PIECES = 48, 75_000
+#: Children of a node of the tree; the rank of a pair that does not merge.
+FAN, NEVER = 16, 1 << 40
 
 
 def byte_letters() -> list[str]:
@@ -38,30 +39,64 @@ def byte_letters() -> list[str]:
 
 
 class RankTree:
-    """Leaf i holds rank * size + i of the pair that begins at symbol i; each inner node the least of its two."""
-
-    def __init__(self, ranks: list[int]) -> None:
-        self.size = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.node = [NEVER] * (2 * self.size)
-        for i, rank in enumerate(ranks):
-            if rank < NEVER:
-                self.node[self.size + i] = rank * self.size + i
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
-
-    def least(self) -> int:
-        """The place of the leftmost pair of the lowest rank, or -1."""
-        return self.node[1] % self.size if self.node[1] < NEVER else -1
-
-    def put(self, i: int, rank: int) -> None:
-        node, at = self.node, self.size + i
-        node[at] = rank * self.size + i if rank < NEVER else NEVER
-        while at > 1:
-            at //= 2
-            low = min(node[2 * at], node[2 * at + 1])
-            if node[at] == low:
-                break
-            node[at] = low
+    """A segment tree in which each inner node holds the least of its FAN children.
+
+    Leaf i holds rank * n + i of the pair that begins at symbol i, n being the number of symbols: the root is the
+    lowest rank, and of equal ones the leftmost. NEVER * n and more stands for no pair. The root's children are
+    the last of the rows, so a piece of up to FAN pairs is a root with its leaves.
+    """
+
+    __slots__ = ("rows",)
+
+    def __init__(self, leaves: list[int]) -> None:
+        self.rows = [leaves]
+        while len(row := self.rows[-1]) > FAN:
+            self.rows.append([min(row[i : i + FAN]) for i in range(0, len(row), FAN)])
+
+    def changed(self, *at: int) -> None:
+        """Bring the ancestors of leaves up to date, each of them once."""
+        nodes, below = set(at), self.rows[0]
+        for row in self.rows[1:]:
+            nodes = {i // FAN for i in nodes}
+            for i in nodes:
+                row[i] = min(below[i * FAN : i * FAN + FAN])
+            below = row
+
+
+class Pieces(dict):
+    """What is known of pieces, in two generations: once the young one is full it becomes the old one.
+
+    Pieces that come again and again are carried over, so rare ones do not drive them out.
+    """
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.old = codec, {}
+
+    def __missing__(self, piece: str) -> tuple[str, bytes, int]:
+        out = self.old.get(piece) or self.codec.entry(piece)
+        if len(piece) <= KEEP_LENGTH:
+            if len(self) >= KEEP_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+
+def refuse_others(spec: dict) -> None:
+    """Raise for what this encoder does not do: all but plain byte-level BPE with plain special tokens."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = {
+        "a normalizer": spec.get("normalizer"),
+        "a pre-tokenizer other than ByteLevel": cut.get("type") != "ByteLevel",
+        "a space before the text": cut.get("add_prefix_space"),
+        "another pattern of pieces": not cut.get("use_regex", True),
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "marks of words": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"),
+        "dropout, byte fallback or unmerged words": model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"),
+        "special tokens that take more than their text": any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")),
+    }
+    if found := [what for what, there in odd.items() if there]:
+        raise ValueError(f"the tokenizer file asks for {', '.join(found)}")
 
 
 class Codec:
@@ -69,66 +104,76 @@ class Codec:
 
     def __init__(self, spec: str) -> None:
         model = json.loads(spec)
+        refuse_others(model)
         letters = byte_letters()
         byte_of = {c: i for i, c in enumerate(letters)}
         vocab = model["model"]["vocab"]
         self.first = [vocab[c] for c in letters]
-        self.pair: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Ranks of pairs of symbols, and what each rank's pair becomes.
+        self.ranks: dict[int, int] = {}
+        self.result: list[int] = []
         for rank, merge in enumerate(model["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.pair[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.result.append(vocab[a + b])
+        #: Ranks of pairs of bytes: what the leaves hold at first.
+        self.byte_ranks = [self.ranks.get(a << 32 | b, NEVER) for a in self.first for b in self.first]
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.find = regex.compile(PIECES).findall
-        self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.known = Pieces(self)
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        ids: list[int] = [self.first[b] for b in piece]
+        ids = [self.first[b] for b in piece]
         n = len(ids)
         if n < 2:
             return ids
+        ranks, result, none = self.ranks.get, self.result, NEVER * n
+        at_first = self.byte_ranks
+        leaves = [at_first[a << 8 | b] * n + i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))]
+        tree = RankTree(leaves)
+        top, deep = tree.rows[-1], len(tree.rows) > 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair, none = self.pair, (NEVER, -1)
-        tree = RankTree([pair.get((ids[i], ids[i + 1]), none)[0] for i in range(n - 1)])
-        alive = [True] * n
-        while (i := tree.least()) >= 0:
+        while (least := min(top)) < none:
+            rank, i = divmod(least, n)
             j = after[i]
-            ids[i] = pair[ids[i], ids[j]][1]
-            alive[j] = False
-            after[i] = k = after[j]
-            if j < n - 1:
-                tree.put(j, NEVER)
+            h, k = before[i], after[j]
+            ids[i] = new = result[rank]
+            ids[j] = -1
+            after[i] = k
             if k < n:
                 before[k] = i
-                tree.put(i, pair.get((ids[i], ids[k]), none)[0])
+                leaves[i] = ranks(new << 32 | ids[k], NEVER) * n + i
+                leaves[j] = none
             else:
-                tree.put(i, NEVER)
-            if (h := before[i]) >= 0:
-                tree.put(h, pair.get((ids[h], ids[i]), none)[0])
-        return [x for x, here in zip(ids, alive, strict=True) if here]
+                leaves[i] = none
+                if j < n - 1:
+                    leaves[j] = none
+            if h >= 0:
+                leaves[h] = ranks(ids[h] << 32 | new, NEVER) * n + h
+            if deep:
+                tree.changed(max(h, 0), i, min(j, n - 2))
+        return [x for x in ids if x >= 0]
 
     def entry(self, piece: str) -> tuple[str, bytes, int]:
         """A piece's ids as text, the bytes that these ids decode to, and their number."""
-        if (got := self.known.get(piece)) is None:
-            ids = self.merged(piece.encode())
-            got = ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), len(ids)
-            if len(piece) <= KEEP_LENGTH:
-                if len(self.known) >= KEEP_PIECES:
-                    self.known.clear()
-                self.known[piece] = got
-        return got
-
-    def entries(self, text: str) -> Iterator[tuple[str, bytes, int]]:
-        for part in self.cut.split(text) if self.cut else (text,):
+        ids = self.merged(piece.encode())
+        return ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), len(ids)
+
+    def entries(self, text: str) -> list[tuple[str, bytes, int]]:
+        known = self.known.__getitem__
+        if not self.cut:
+            return list(map(known, self.find(text)))
+        out: list[tuple[str, bytes, int]] = []
+        for part in self.cut.split(text):
             if part in self.special:
-                yield str(self.special[part]), part.encode(), 1
-            elif part:
-                known, entry = self.known, self.entry
-                for piece in self.find(part):
-                    yield known.get(piece) or entry(piece)
+                out.append((str(self.special[part]), part.encode(), 1))
+            else:
+                out += map(known, self.find(part))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for ids, _, _ in self.entries(text) for x in ids.split(",")]
@@ -191,8 +236,10 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encode, decode and hash in one pass over the text.
 
-    Null texts count as empty (no tokens, hashes of nothing). Null ids stay null, repeated rows stay repeated,
-    columns besides doc_id and text are not read. The widest thing in memory is one Arrow batch of texts.
+    Null texts count as empty (no tokens, hashes of nothing). Null ids stay null, repeated rows stay repeated, an
+    empty table gives no rows, columns besides doc_id and text are not read. Pairs of equal rank merge from the left.
+    The widest thing in memory is one Arrow batch of texts; a piece of any length takes time in proportion to its
+    length times that length's logarithm.
     """
     tune(docs.sparkSession)
     spec = _spec(docs, tokenizer)
@@ -202,7 +249,7 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in it:
             n, ids_hash, text_hash = [], [], []
             for text in b.column(1).to_pylist():
-                found = list(own.entries(text or ""))
+                found = own.entries(text or "")
                 n.append(sum(x[2] for x in found))
                 ids_hash.append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
                 decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace")

@@ -44,14 +44,26 @@ def test_bpe_is_the_library(docs):
     assert bpe_tree.digests(docs([]), path).count() == 0
 
 
-def test_segment_tree_takes_the_leftmost_least():
-    tree = bpe_tree.RankTree([5, 3, 9, 3])
-    assert tree.least() == 1
-    tree.put(1, bpe_tree.NEVER)
-    assert tree.least() == 3
-    for i in (0, 2, 3):
-        tree.put(i, bpe_tree.NEVER)
-    assert tree.least() == -1
+def test_segment_tree_keeps_the_least_at_its_root():
+    r = random.Random(3)
+    for n in (1, 16, 17, 300, 5000):
+        leaves = [r.randint(0, 50) * n + i for i in range(n)]
+        tree = bpe_tree.RankTree(leaves)
+        assert len(tree.rows[-1]) <= bpe_tree.FAN
+        for _ in range(50):
+            at = [r.randrange(n) for _ in range(3)]
+            for i in at:
+                leaves[i] = bpe_tree.NEVER * n if r.random() < 0.5 else r.randint(0, 50) * n + i
+            tree.changed(*at)
+            assert min(tree.rows[-1]) == min(leaves)
+
+
+def test_files_that_ask_for_more_are_refused():
+    spec = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    bpe_tree.refuse_others(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError):
+            bpe_tree.refuse_others(spec | change)
 
 
 def text_rows():
