@@ -10,7 +10,7 @@ from pathlib import Path
 
 from terrasift import __version__
 from terrasift.config import json_schema, load_suite
-from terrasift.registry import PLUGINS, builtin_specs, get_registry
+from terrasift.registry import PLUGINS, builtin_specs, checks_in_use
 from terrasift.report.files import write_failures, write_json, write_junit
 from terrasift.report.page import write_html
 from terrasift.report.text import print_report
@@ -151,7 +151,7 @@ def schema(args: argparse.Namespace) -> int:
 
 def list_checks(args: argparse.Namespace) -> int:
     own = {s.name for s in builtin_specs()}
-    for s in get_registry().specs():
+    for s in checks_in_use().values():
         print(f"{s.name:<12} {'built-in' if s.name in own else 'plugin':<9} {', '.join(s.keys())}")
     print(f"Every check also has the keys enabled and severity (error, warn or info). Plugins: entry points of the group {PLUGINS}.")
     return 0

@@ -19,7 +19,7 @@ from terrasift.config import LayerRules, Suite
 from terrasift.functions.geo import geo_json, geo_transform, geo_type
 from terrasift.geom.crs import epsg_of
 from terrasift.model import FID, CheckResult, LayerFrame, LayerReport, Report, Severity, Status, now
-from terrasift.registry import CheckSpec, get_registry
+from terrasift.registry import CheckSpec, checks_in_use
 from terrasift.sources.catalog import layers_of, safe_name
 
 log = logging.getLogger("terrasift")
@@ -98,7 +98,7 @@ def overview(frame: LayerFrame) -> tuple[int, str | None]:
 
 def checked(frame: LayerFrame, rules: LayerRules) -> list[CheckResult]:
     out = []
-    for spec in get_registry().specs():
+    for spec in checks_in_use().values():
         rule = getattr(rules, spec.name, None)
         if rule is not None:
             out += timed(spec, frame, rule)

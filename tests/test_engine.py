@@ -16,9 +16,9 @@ from terrasift.sources.catalog import layers_of
 
 @pytest.fixture(autouse=True)
 def fresh_registry():
-    registry.reset_registry()
+    registry.checks_in_use.cache_clear()
     yield
-    registry.reset_registry()
+    registry.checks_in_use.cache_clear()
 
 
 def verdicts(report):
@@ -74,8 +74,8 @@ def test_check_that_breaks_is_one_error(spark, data_dir):
     def counting(frame, layer, source, rule):
         return [CheckResult("own", layer, source, Status.PASS, f"{frame.df.count()} rows, limit {rule.limit}")]
 
-    registry.get_registry().register(registry.CheckSpec("own", counting, Own, 5))
-    registry.get_registry().register(registry.CheckSpec("crs", broken, config.CrsRule, 10))
+    registry.use(registry.CheckSpec("own", counting, Own, 5))
+    registry.use(registry.CheckSpec("crs", broken, config.CrsRule, 10))
     logging.disable(logging.CRITICAL)
     suite = load_suite(data_dir / "suite.yml")
     suite.defaults["own"] = {"limit": 7}
@@ -104,9 +104,9 @@ def test_plugins(monkeypatch):
     points = [Point("a", spec), Point("b", lambda: registry.CheckSpec("yy", lambda *a: [], Rule, 1)), Point("c", 3), Point("d", ImportError("x"))]
     monkeypatch.setattr(registry.metadata, "entry_points", lambda group: points)
     logging.disable(logging.CRITICAL)
-    assert registry.build_registry().names() == ["yy", "crs", "geometry", "duplicates", "attributes", "topology", "zz"]
+    assert list(registry.known_checks()) == ["yy", "crs", "geometry", "duplicates", "attributes", "topology", "zz"]
     logging.disable(logging.NOTSET)
-    assert spec.keys() == ("most",) and registry.build_registry(include_plugins=False).get("zz") is None
+    assert spec.keys() == ("most",) and registry.known_checks(include_plugins=False).get("zz") is None
 
 
 def test_config(tmp_path):
