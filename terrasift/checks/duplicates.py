@@ -29,7 +29,7 @@ def exact_groups(df: DataFrame, geom: str) -> tuple[DataFrame, DataFrame]:
     """(key, n) of geometries that come twice or more, and (_fid, key) of all rows that have one."""
     keys = df.select(FID, geo_normal(F.col(geom)).alias("key")).where(F.col("key").isNotNull())
     # The digest is half a rectangle's WKB and a small part of a long one: it shrinks the shuffle.
-    keys = keys.select(FID, F.sha2("key", 256).alias("key"))
+    keys = keys.select(FID, F.sha2("key", 256).alias("key")).persist()
     return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), keys
 
 
@@ -39,7 +39,7 @@ def _exact(frame: LayerFrame, out: Results) -> None:
     members = keys.join(groups.select("key"), "key", "left_semi").select(FID)
     rows = members.orderBy(FID).limit(ISSUES).collect() if n.extra else []
     message = f"{n.members} features form exact-duplicate groups ({n.extra} redundant)." if n.extra else "No exact duplicate geometries."
-    out.add("exact", message, frame.df.count(), n.extra, issues=[Issue("exact duplicate geometry", r[FID], fid=r[FID]) for r in rows], failing=members)
+    out.add("exact", message, frame.df.count(), n.extra, issues=[Issue("exact duplicate geometry", r[FID], fid=r[FID]) for r in rows], failing=members, cached=keys)
 
 
 def near_pairs(frame: LayerFrame, rule: FuzzyRule) -> DataFrame:

@@ -8,6 +8,7 @@ from terrasift.checks.base import ISSUES, Results, row_issues, status_for
 from terrasift.config import GeometryRule
 from terrasift.functions.geo import geo_make_valid, geo_state
 from terrasift.model import FID, CheckResult, Issue, LayerFrame, Status
+from terrasift.operators.components import ensure_checkpoint_dir
 
 
 def run(frame: LayerFrame, layer: str, source: str, rule: GeometryRule) -> list[CheckResult]:
@@ -30,10 +31,14 @@ def run(frame: LayerFrame, layer: str, source: str, rule: GeometryRule) -> list[
                 issues=row_issues(df, empty, "EMPTY geometry") if n.empty else [], failing=df.where(empty).select(FID))
     if rule.valid:
         rows = df.where(invalid).select(FID, F.col("__s.reason").alias("reason")).orderBy(FID).limit(ISSUES).collect() if n.invalid else []
-        fixed = n.invalid if rule.fix else 0
+        fixed = 0
         if rule.fix and n.invalid:
-            # Later checks see the repaired layer.
-            frame.df = frame.df.withColumn("__s", geo_state(g)).withColumn(frame.geom_col, F.when(F.col("__s.reason").isNotNull(), geo_make_valid(g)).otherwise(g)).drop("__s")
+            # Later checks see the repaired layer; it is kept, as each of them would repair it anew. What repair can't mend isn't counted.
+            ensure_checkpoint_dir(frame.df)
+            mended = frame.df.withColumn("__s", geo_state(g)).withColumn("__bad", F.col("__s.reason").isNotNull())
+            mended = mended.withColumn(frame.geom_col, F.when(F.col("__bad"), geo_make_valid(g)).otherwise(g)).withColumn("__left", geo_state(g)["reason"]).checkpoint()
+            fixed = mended.where(F.col("__bad") & F.col("__left").isNull()).count()
+            frame.df = mended.drop("__s", "__bad", "__left")
         if not n.invalid:
             message = "All geometries are valid."
         elif fixed:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terrasift.geom import crs as systems
-from terrasift.geom import kernel, wkb
+from terrasift.geom import batch, kernel, wkb
 
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 
@@ -31,50 +31,60 @@ def lazily(returns: str) -> Callable[[Callable], Callable[..., Column]]:
     return wrap
 
 
-def _one(returns: str, f: Callable) -> Callable[[Column], Column]:
-    """A function of one geometry; null for null. The UDF is made when it is called: importing this needs no session."""
+def _one(returns: str, f: Callable, simple: Callable | None = None) -> Callable[[Column], Column]:
+    """A function of one geometry; null for null. simple: the same over an array of simple ones. The UDF is made when it is called: importing this needs no session."""
 
     def run(col: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(wkb.decode(bytes(x))) for x in col], dtype=object)
+        return pd.Series(batch.each(col.tolist(), simple or (lambda kind, xy: None), f), dtype=object)
 
     return lazily(returns)(run)
 
 
-def _two(returns: str, f: Callable) -> Callable[[Column, Column], Column]:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        # Neighbouring rows of a join often repeat a side.
-        seen: dict[bytes, wkb.Geometry] = {}
+def _pairs(a: list, b: list, f: Callable, rows: Iterator[int]) -> Iterator[tuple[int, object]]:
+    # Neighbouring rows of a join often repeat a side.
+    seen: dict[bytes, wkb.Geometry] = {}
 
-        def read(x: bytes) -> wkb.Geometry:
-            x = bytes(x)
-            if x not in seen:
-                if len(seen) > 2000:
-                    seen.clear()
-                seen[x] = wkb.decode(x)
-            return seen[x]
+    def read(x: bytes) -> wkb.Geometry:
+        x = bytes(x)
+        if x not in seen:
+            if len(seen) > 2000:
+                seen.clear()
+            seen[x] = wkb.decode(x)
+        return seen[x]
 
-        return pd.Series([None if x is None or y is None else f(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+    for i in rows:
+        yield i, None if a[i] is None or b[i] is None else f(read(a[i]), read(b[i]))
+
+
+def _two(returns: str, f: Callable) -> Callable[[Column, Column], Column]:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([v for _, v in _pairs(a.tolist(), b.tolist(), f, range(len(a)))], dtype=object)
 
     return lazily(returns)(run)
 
 
-geo_is_empty = _one("boolean", lambda g: bool(wkb.is_empty(g)))
-geo_validity = _one("string", kernel.invalid_reason)
-geo_area = _one("double", lambda g: float(kernel.area(g)))
-geo_make_valid = _one("binary", lambda g: wkb.encode(kernel.made_valid(g)))
-geo_repair = _one("binary", lambda g: wkb.encode(g if kernel.invalid_reason(g) is None else kernel.made_valid(g)))
-geo_normal = _one("binary", lambda g: None if wkb.is_empty(g) else wkb.encode(kernel.normalized(g)))
-geo_ends = _one("array<struct<x:double,y:double>>", lambda g: [{"x": float(x), "y": float(y)} for x, y in kernel.ends(g)])
+geo_is_empty = _one("boolean", lambda g: bool(wkb.is_empty(g)), batch.empty)
+geo_validity = _one("string", kernel.invalid_reason, batch.reason)
+geo_area = _one("double", lambda g: float(kernel.area(g)), batch.area)
+geo_make_valid = _one("binary", lambda g: wkb.encode(kernel.made_valid(g)), batch.repaired)
+geo_repair = _one("binary", lambda g: wkb.encode(kernel.made_valid(g)), batch.repaired)
+geo_normal = _one("binary", lambda g: None if wkb.is_empty(g) else wkb.encode(kernel.normalized(g)), batch.normal)
+geo_ends = _one("array<struct<x:double,y:double>>", lambda g: [{"x": float(x), "y": float(y)} for x, y in kernel.ends(g)], batch.ends)
 geo_json = _one("string", lambda g: json.dumps(wkb.to_geojson(g)))
-geo_intersection_area = _two("double", lambda a, b: float(kernel.intersection_area(a, b)))
 geo_distance = _two("double", lambda a, b: float(kernel.distance(a, b)))
 
 
+@lazily("double")
+def geo_intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
+    a, b = a.tolist(), b.tolist()
+    return pd.Series(batch.shared_area(a, b, lambda rows: _pairs(a, b, lambda x, y: float(kernel.intersection_area(x, y)), rows)), dtype=object)
+
+
 @lazily(BOX)
 def geo_box(col: pd.Series) -> pd.DataFrame:
     """Bounds; nulls for null and empty geometries."""
-    rows = [None if x is None else wkb.bounds(wkb.decode(bytes(x))) for x in col]
-    return pd.DataFrame([r or (None,) * 4 for r in rows], columns=["xmin", "ymin", "xmax", "ymax"], dtype=float)
+    found = batch.bounds(col.tolist())
+    return pd.DataFrame(found, columns=["xmin", "ymin", "xmax", "ymax"]).astype(object).where(~np.isnan(found), None)
 
 
 def geo_related(predicate: str) -> Callable[[Column, Column], Column]:
@@ -91,30 +101,50 @@ def geo_transform(source: int, target: int) -> Callable[[Column], Column]:
 @lazily("struct<empty:boolean,reason:string>")
 def geo_state(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Whether a geometry is empty and why it is not valid, in one pass over the column."""
+
+    def simple(kind: int, xy: np.ndarray) -> tuple[list, np.ndarray]:
+        found, known = batch.reason(kind, xy)
+        return [(False, x) for x in found], known
+
+    def one(g: wkb.Geometry) -> tuple[bool, str | None]:
+        empty = bool(wkb.is_empty(g))
+        return empty, None if empty else kernel.invalid_reason(g)
+
     for col in parts:
-        out = []
-        for x in col:
-            g = None if x is None else wkb.decode(bytes(x))
-            empty = None if g is None else bool(wkb.is_empty(g))
-            out.append((empty, None if g is None or empty else kernel.invalid_reason(g)))
-        yield pd.DataFrame(out, columns=["empty", "reason"])
+        out = [x or (None, None) for x in batch.each(col.tolist(), simple, one)]
+        yield pd.DataFrame(out, columns=["empty", "reason"], dtype=object)
+
+
+def _built(kind: int, points: list) -> list:
+    """WKB of flat coordinate arrays, rows of one length at once; null for null."""
+    out: list = [None] * len(points)
+    sizes = np.fromiter((-1 if p is None else len(p) for p in points), np.int64, len(points))
+    for size in np.unique(sizes[sizes >= 0]).tolist():
+        rows = np.flatnonzero(sizes == size).tolist()
+        if not size:
+            made = [wkb.encode((kind, [] if kind == wkb.POLYGON else np.empty((0, 2))))] * len(rows)
+        else:
+            made = batch.encoded(kind, np.array([points[i] for i in rows], float).reshape(len(rows), -1, 2))
+        for i, x in zip(rows, made, strict=True):
+            out[i] = x
+    return out
 
 
 @lazily("binary")
 def ring_polygon(points: pd.Series) -> pd.Series:
     """WKB of a polygon from a flat array x, y, x, y ... of its closed ring; an empty array is POLYGON EMPTY."""
-    return pd.Series([None if p is None else wkb.encode((wkb.POLYGON, [np.asarray(p, float).reshape(-1, 2)] if len(p) else [])) for p in points], dtype=object)
+    return pd.Series(_built(wkb.POLYGON, points.tolist()), dtype=object)
 
 
 @lazily("binary")
 def line_string(points: pd.Series) -> pd.Series:
     """WKB of a line from a flat array x, y, x, y ..."""
-    return pd.Series([None if p is None else wkb.encode((wkb.LINE, np.asarray(p, float).reshape(-1, 2))) for p in points], dtype=object)
+    return pd.Series(_built(wkb.LINE, points.tolist()), dtype=object)
 
 
 @lazily("binary")
 def point(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([wkb.encode((wkb.POINT, np.array([a, b], float))) for a, b in zip(x, y, strict=True)], dtype=object)
+    return pd.Series(batch.encoded(wkb.POINT, np.stack([x.to_numpy(float), y.to_numpy(float)], 1)[:, None, :]), dtype=object)
 
 
 @lazily("double")

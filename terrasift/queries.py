@@ -15,6 +15,7 @@ from terrasift.checks.base import to_metric
 from terrasift.config import AttributesRule, CrsRule, Domain, DuplicatesRule, FuzzyRule, GeometryRule, Suite, TopologyRule
 from terrasift.functions.geo import geo_area, line_string, point, ring_polygon
 from terrasift.model import FID, CheckResult, LayerFrame
+from terrasift.operators.spread import spread
 from terrasift.plans.run import checked, failing_rows, overview
 
 PARCELS = """
@@ -49,7 +50,7 @@ METRES = "EPSG:3857"
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {name}", "from {t}"), t=spark.read.parquet(f"{sf_dir}/{name}.parquet")).withColumnRenamed("fid", FID)
+    return spread(spark.sql(sql.replace(f"from {name}", "from {t}"), t=spark.read.parquet(f"{sf_dir}/{name}.parquet")).withColumnRenamed("fid", FID))
 
 
 def parcels(spark: SparkSession, sf_dir: str, rect_only: bool = False) -> LayerFrame:
