@@ -126,18 +126,20 @@ def normal(kind: int, xy: np.ndarray) -> tuple[list, np.ndarray] | list:
     if kind == LINE:
         known = ~closed(xy) if xy.shape[1] > 3 else np.ones(len(xy), bool)
         own = xy[known]
-        flat, back = own.reshape(len(own), -1), own[:, ::-1].reshape(len(own), -1)
+        flat, back = own.reshape(len(own), 2 * xy.shape[1]), own[:, ::-1].reshape(len(own), 2 * xy.shape[1])
         differ = flat != back
         at = differ.argmax(1)[:, None]
         turn = (np.take_along_axis(flat, at, 1) > np.take_along_axis(back, at, 1))[:, 0]
         return encoded(kind, np.where(turn[:, None, None], own[:, ::-1], own)), known
-    known = closed(xy) & (xy[:, 1:] != xy[:, :-1]).any(2).all(1) & (xy.shape[1] > 3)
+    if xy.shape[1] < 4:
+        return [], np.zeros(len(xy), bool)
+    known = closed(xy) & (xy[:, 1:] != xy[:, :-1]).any(2).all(1)
     q = xy[known][:, :-1]
     turn = ~(doubled_area(xy[known]) < 0)
     q = np.where(turn[:, None, None], q[:, ::-1], q)
     low = q[:, :, 0] == q[:, :, 0].min(1, keepdims=True)
     first = np.where(low, q[:, :, 1], np.inf).argmin(1)
-    order = (first[:, None] + np.arange(q.shape[1] + 1)) % q.shape[1] if len(q) else np.empty((0, xy.shape[1]), int)
+    order = (first[:, None] + np.arange(q.shape[1] + 1)) % q.shape[1]
     return encoded(kind, np.take_along_axis(q, order[:, :, None], 1)), known
 
 
