@@ -1,19 +1,27 @@
 """Lines that many documents share, found with levelled sorted runs of line hashes.
 
-Documents come in batches. A batch's line hashes are counted, merge-anti-joined with the run of hashes that are
-settled already (seen in enough documents), and the rest is written as a new sorted run of level 0. Once a level
-holds `fanout` runs they are compacted into one run of the next level, and what has reached the threshold moves to
-the settled run. All of it is DataFrame code: no Python runs on the executors.
+Documents come in batches, more of them the larger the table. A batch's line hashes are counted and merge-anti-joined
+with the run of hashes that are settled already (seen in enough documents); the rest is written as a new sorted run
+of level 0. Once a level holds `fanout` runs they are compacted into one run of the next level, and what has reached
+the threshold moves to the settled run. A run is a table bucketed and sorted by hash, and all have the same buckets:
+batches meet the settled run, and runs each other, bucket by bucket, without a shuffle of what is stored.
+
+All of it is DataFrame code: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import SPACE, ascii_lower, dropped, stored, text_or_empty
+from terrasift.llm.common import SPACE, ascii_lower, drop_path, stored, table_path, text_or_empty
 
 HASH = ["h1", "h2"]
+#: Batches: this many at least, and the root of so-many-document parts of the table.
+LEAST_BATCHES, BATCH_DOCS = 9, 1 << 15
 #: Keys in at least one document of so many are joined by broadcast: at most this number times the mean lines of a document.
 HOT_SHARE = 2000
 
@@ -23,10 +31,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def line_hash(line: Column) -> Column:
-    """Two 64-bit hashes of the line's key; null where the key is empty."""
-    key = line_key(line)
-    return F.when(F.length(key) > 0, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key, F.length(key)).alias("h2")))
+def key_hash(key: Column) -> list[Column]:
+    """Two 64-bit hashes of a line's key."""
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key, F.length(key)).alias("h2")]
 
 
 def row_key() -> list[Column]:
@@ -35,45 +42,72 @@ def row_key() -> list[Column]:
     return [F.xxhash64(F.col("doc_id"), t).alias("r1"), F.xxhash64(F.lit(7), t, F.col("doc_id")).alias("r2")]
 
 
-class SortedRuns:
-    """Sorted runs (h1, h2, n): n is the number of documents of a hash."""
+class Run:
+    """A table (h1, h2, n) in the shared folder, bucketed and sorted by hash."""
+
+    def __init__(self, rows: DataFrame, buckets: int) -> None:
+        self.spark = rows.sparkSession
+        self.path, self.name = table_path(self.spark, "run"), f"terrasift_run_{uuid.uuid4().hex}"
+        rows.select(*HASH, "n").write.bucketBy(buckets, *HASH).sortBy(*HASH).option("path", self.path).format("parquet").saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        # All counts are positive. The filter has scans give rows: a union of columnar scans loses their buckets (Spark 4.1).
+        return self.spark.table(self.name).where("n > 0")
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table {self.name}")
+        drop_path(self.spark, self.path)
 
-    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 4) -> None:
-        self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.settled: DataFrame | None = None
 
-    def _run(self, counts: DataFrame) -> DataFrame:
-        return stored(counts.sortWithinPartitions(*HASH), "run")
+class SortedRuns:
+    """Runs of hashes by level; n is the number of documents of a hash."""
+
+    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 3) -> None:
+        self.threshold, self.fanout = threshold, fanout
+        # As many as a shuffle has partitions: counted batches are dealt like the runs then.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Spark otherwise takes buckets for files where only a union of runs needs them, and then fails to zip the two sides.
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        self.levels: list[list[Run]] = [[]]
+        self.settled: Run | None = None
+        self.compactions = 0
 
     def _unsettled(self, counts: DataFrame) -> DataFrame:
-        return counts if self.settled is None else counts.join(self.settled, HASH, "left_anti")
+        """counts less the settled hashes: a merge of two sorted sides. As left_anti the join would move below the count, and all of a key's lines to one task."""
+        if self.settled is None:
+            return counts
+        old = self.settled.rows().select(*HASH, F.lit(True).alias("old")).hint("merge")
+        return counts.join(old, HASH, "left").where(F.col("old").isNull()).select(*HASH, "n")
 
     def add(self, counts: DataFrame) -> None:
         """A batch's (h1, h2, n), each hash once."""
-        self.levels[0].append(self._run(self._unsettled(counts)))
+        self.levels[0].append(Run(self._unsettled(counts), self.buckets))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
-        runs = self.levels[level]
-        merged = self._merged(runs)
-        full = stored(merged.where(F.col("n") >= self.threshold), "settled")
-        rest = self._run(merged.where(F.col("n") < self.threshold))
-        self.settled = full if self.settled is None else self.settled.unionByName(full)
-        dropped(*runs)
+        """One run of the next level in place of a level's, less what is settled now. Later batches may add to hashes of either."""
+        runs, old = self.levels[level], self.settled
+        merged = Run(self._merged(runs), self.buckets)
+        full = merged.rows().where(F.col("n") >= self.threshold)
+        self.settled = Run(full if old is None else full.unionByName(old.rows()), self.buckets)
+        rest = Run(merged.rows().where(F.col("n") < self.threshold), self.buckets)
+        for run in [*runs, merged, *([old] if old else [])]:
+            run.drop()
         self.levels[level] = []
         if level + 1 == len(self.levels):
             self.levels.append([])
         self.levels[level + 1].append(rest)
+        self.compactions += 1
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
+    def _merged(self, runs: list[Run]) -> DataFrame:
+        """Counts of runs added up; a hash that has settled since its run was written is left out."""
+        out = runs[0].rows()
         for run in runs[1:]:
-            out = out.unionByName(run)
-        return self._unsettled(out).groupBy(*HASH).agg(F.sum("n").alias("n"))
+            out = out.unionByName(run.rows())
+        return self._unsettled(out.groupBy(*HASH).agg(F.sum("n").alias("n")))
 
     def frequent(self) -> DataFrame:
         """(h1, h2, n) of the hashes at the threshold; n is a lower bound where later batches were not counted."""
@@ -81,7 +115,11 @@ class SortedRuns:
         found = self._merged(runs).where(F.col("n") >= self.threshold) if runs else None
         if self.settled is None:
             return found
-        return self.settled if found is None else self.settled.unionByName(found)
+        return self.settled.rows() if found is None else self.settled.rows().unionByName(found)
+
+    def drop(self) -> None:
+        for run in [r for level in self.levels for r in level] + ([self.settled] if self.settled else []):
+            run.drop()
 
 
 def text_key() -> list[Column]:
@@ -90,20 +128,20 @@ def text_key() -> list[Column]:
     return [F.xxhash64(keys).alias("t1"), F.xxhash64(F.lit(7), keys).alias("t2")]
 
 
-def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, by_text: bool = False) -> DataFrame:
+def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int | None = None, by_text: bool = False) -> DataFrame:
     """docs' rows as r1, r2, and drop: the sorted positions of the lines to drop (only rows that lose a line).
 
     Each row of docs counts as one document, a line once in each. With by_text, rows of equal text_key() count as one
     document together.
     """
     spark = docs.sparkSession
-    t = text_or_empty()
+    n_docs = docs.count()
+    n_batches = n_batches or max(LEAST_BATCHES, math.isqrt(n_docs // BATCH_DOCS))
     of = ["t1", "t2"] if by_text else ["r1", "r2"]
-    lines = (
-        docs.select(*row_key(), *(text_key() if by_text else []), F.posexplode(F.transform(F.split(t, "\n", -1), line_hash)).alias("pos", "h"))
-        .where(F.col("h").isNotNull())
-        .select("r1", "r2", *(of if by_text else []), "pos", "h.h1", "h.h2", (F.pmod(F.col(of[0]), F.lit(n_batches))).cast("int").alias("batch"))
-    )
+    keys = ["r1", "r2", *(of if by_text else [])]
+    rows = docs.select(*row_key(), *(text_key() if by_text else []), text_or_empty().alias("t"))
+    each = rows.select(*keys, F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).select(*keys, "pos", line_key(F.col("line")).alias("key"))
+    lines = each.where(F.length("key") > 0).select(*keys, "pos", *key_hash(F.col("key")), F.pmod(F.col(of[0]), F.lit(n_batches)).cast("int").alias("batch"))
     lines = stored(lines, "lines", ("batch",))
     runs = SortedRuns(spark, min_docs)
     if by_text:
@@ -112,11 +150,10 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, by_tex
         # A row repeated as a whole holds each of its lines at one position as often as it is repeated.
         of_docs = lines.groupBy("batch", *HASH, *of).agg((F.count("*") / F.countDistinct("pos")).cast("long").alias("docs"))
     for k in range(n_batches):
-        batch = of_docs.where(F.col("batch") == k).groupBy(*HASH).agg(F.sum("docs").alias("n"))
-        runs.add(batch)
+        runs.add(of_docs.where(F.col("batch") == k).groupBy(*HASH).agg(F.sum("docs").alias("n")))
     frequent = stored(runs.frequent(), "frequent")
+    runs.drop()
     # A key in a large share of all documents, to be dropped or not, would fill one task of a shuffled join; there are few such keys.
-    n_docs = docs.count()
     often = F.col("n") >= max(min_docs, n_docs // HOT_SHARE)
     many = stored(lines.groupBy(*HASH).agg(F.count("*").alias("n")).where(often).select(*HASH), "many")
     hot = stored(many.join(frequent.select(*HASH), HASH, "left_semi"), "hot")
@@ -126,7 +163,7 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, by_tex
     return gone.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
-def without_shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, by_text: bool = False) -> DataFrame:
+def without_shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int | None = None, by_text: bool = False) -> DataFrame:
     """docs with `text` less the lines whose key at least min_docs documents hold, and columns n_lines, n_dropped.
 
     A null or empty text is one empty line and stays; an empty key is never dropped. A text that loses all its
