@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Features are words and word beginnings that labelled toxic texts have far more often than others, chosen on the
-training rows; a constant feature stands for the absence of all. Examples with equal vectors are one example with
-their share of label 1. The index keeps postings by feature in blocks of examples with each block's greatest
-weight: blocks are scored in order of their bound until no bound reaches the k-th best, so the neighbours are
-exact. Their votes are weighed by distance and calibrated by a logistic curve fitted leave-one-out.
+Features are words and word beginnings that labelled toxic texts have far more often than others, with confidence,
+chosen on the training rows. All other words of a text are one dimension together, as long as their own TF vector
+is, so that a text's likeness to an example depends on how much of it the features are. Examples with equal vectors
+are one example with their share of label 1. The index keeps postings by feature in blocks of examples with each
+block's greatest weight: blocks are scored in order of their bound until no bound reaches the k-th best, so the
+neighbours are exact. Their votes are weighed by distance and calibrated by a logistic curve fitted leave-one-out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_`~=+/\\"
 THRESHOLD = 0.7
 #: A feature is taken if toxic rows have it so many times as often, with confidence.
 LEAST_LIFT = 3.0
-#: And if its worth (log lift times the root of its toxic rows) is this part of the best one's.
-LEAST_WORTH = 0.15
+#: In two toxic rows at least.
+LEAST_ROWS = 2
+#: The weight of a word that is no feature. The square of their vector's length is rounded to powers of the root of 2.
+OTHER = 0.5
 #: More votes never lower a score.
 LEAST_SLOPE = 0.05
 
@@ -57,25 +60,27 @@ class Vectors:
     def __init__(self, chosen: list[tuple[str, float]]) -> None:
         self.index = {f: i for i, (f, _) in enumerate(chosen)}
         self.idf = [w for _, w in chosen]
-        self.none = len(chosen)
-        self.none_weight = 0.5 * min(self.idf, default=1.0)
+        self.other = len(chosen)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def counts(self, raw: bytes) -> tuple[tuple[int, int], ...]:
+        """(feature, times) in order; last the other words, as the rounded logarithm of their vector's length."""
         got: Counter = Counter()
-        known = self.known
+        known, others = self.known, 0.0
         for word, n in Counter(raw.decode().lower().split()).items():
             hit = known.get(word)
             if hit is None:
-                if len(known) > 300_000:
+                if len(known) > 60_000:
                     known.clear()
                 hit = known[word] = tuple(self.index[f] for f in features_of(word) if f in self.index)
             for f in hit:
                 got[f] += n
-        return tuple(sorted(got.items()))
+            if not hit:
+                others += (1 + math.log(n)) ** 2 if n > 1 else 1.0
+        return (*sorted(got.items()), (self.other, round(2 * math.log2(others + 1))))
 
     def vector(self, counts: tuple[tuple[int, int], ...]) -> list[tuple[int, float]]:
-        v = [(f, (1 + math.log(n)) * self.idf[f]) for f, n in counts] + [(self.none, self.none_weight)]
+        v = [(f, (1 + math.log(n)) * self.idf[f]) for f, n in counts[:-1]] + [(self.other, OTHER * 2 ** (counts[-1][1] / 4))]
         norm = math.sqrt(sum(w * w for _, w in v))
         return [(f, w / norm) for f, w in v]
 
@@ -169,7 +174,7 @@ class Model:
             return 0.0, []
         counts = self.index.vectors.counts(raw)
         if counts not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 10_000:
                 self.known.clear()
             near = self.index.nearest(counts)
             v = self.slope * logit(self.index.votes(near)) + self.offset
@@ -195,9 +200,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     lift = F.log(rate("pos", pos)) - F.log(rate("neg", neg))
     # The lift less two standard errors: rare features that favour one label by chance stay out.
     sure = lift - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    strong = counted.where((F.col("pos") >= max(2, pos // 150)) & (sure >= math.log(LEAST_LIFT)))
+    strong = counted.where((F.col("pos") >= LEAST_ROWS) & (sure >= math.log(LEAST_LIFT)))
     top = strong.withColumn("worth", lift * F.sqrt("pos")).orderBy(F.desc("worth"), "feature").limit(MAX_FEATURES).collect()
-    top = [r for r in top if r.worth >= LEAST_WORTH * top[0].worth]
     vectors = Vectors([(r.feature, math.log((pos + neg + 1) / (r.pos + r.neg + 1)) + 1) for r in top])
     sent = spark.sparkContext.broadcast(vectors)
 
