@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 On a sample each rule's cost (seconds a text) and selectivity (share of texts that it rejects) are measured;
-rules then run in order of rejection per cost, and a text leaves at the first rule that rejects it. The order
-only decides how much work is done: the verdict is that of all rules together.
+rules then run in order of rejection per cost, and a text leaves at the first rule that rejects it. What a rule
+measures beyond the base is computed when the rule runs, once a text. The order only decides how much work is
+done: the verdict is that of all rules together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +28,49 @@ SAMPLE_ROWS = 1000
 
 @dataclass
 class Text:
-    """A text with its base measures."""
+    """A text with its base measures; others are computed once they are asked for."""
 
     raw: bytes
     words: list[bytes]
+    hashes: np.ndarray
     n_words: int
     word_chars: int
     n_symbols: int
     n_dup_lines: int
     n_repeat_words: int
 
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """How often each distinct word occurs."""
+        return np.unique(self.hashes, return_counts=True)[1]
+
+    @cached_property
+    def characters(self) -> int:
+        """Distinct code points."""
+        return len(set(self.raw.decode("utf-8", "replace")))
+
+
+def repeated_words(hashes: np.ndarray, k: int) -> int:
+    """Words in windows of k words that are found twice or more, the first included."""
+    if len(hashes) <= k:
+        return 0
+    w = windows(hashes, k)
+    _, back, n = np.unique(w, return_inverse=True, return_counts=True)
+    again = n[back] > 1
+    if not again.any():
+        return 0
+    hit = np.zeros(len(hashes), bool)
+    for j in range(k):
+        hit[j : j + len(again)] |= again
+    return int(hit.sum())
+
 
 def measured(raw: bytes) -> Text:
     words = raw.split()
+    hashes = word_hashes(words)
     lines = [x for x in raw.split(b"\n") if x.strip()] if b"\n" in raw else []
-    repeat = 0
-    if len(words) > 3:
-        w = windows(word_hashes(words), 3)
-        _, back, n = np.unique(w, return_inverse=True, return_counts=True)
-        again = n[back] > 1
-        if again.any():
-            hit = np.zeros(len(words), bool)
-            for j in range(3):
-                hit[j : j + len(again)] |= again
-            repeat = int(hit.sum())
     chars = len(raw.decode("utf-8", "replace"))
-    return Text(raw, words, len(words), chars - (len(raw) - len(raw.translate(None, SPACES))), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat)
+    return Text(raw, words, hashes, len(words), chars - (len(raw) - len(raw.translate(None, SPACES))), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes, 3))
 
 
 # A rule says whether it rejects a text. Thresholds are wide: what is merely odd stays.
@@ -88,12 +107,34 @@ def shouting(t: Text) -> bool:
 
 
 def few_kinds(t: Text) -> bool:
-    """Under one distinct word in twenty, up to a text of 5000 words."""
-    return t.n_words <= 5000 and 20 * len(set(t.words)) < t.n_words
+    """Fewer distinct words than the root of their number."""
+    return len(t.kinds) ** 2 < t.n_words
+
+
+def one_word(t: Text) -> bool:
+    """One word is more than three of ten."""
+    return t.n_words > 0 and 10 * int(t.kinds.max()) > 3 * t.n_words
+
+
+def few_characters(t: Text) -> bool:
+    """Under twelve distinct characters."""
+    return t.characters < 12
+
+
+def looping_phrases(t: Text) -> bool:
+    """More than 45 of 100 words stand in five-word windows that come again."""
+    return 100 * repeated_words(t.hashes, 5) > 45 * t.n_words
+
+
+def looping_sentences(t: Text) -> bool:
+    """More than 40 of 100 words stand in ten-word windows that come again."""
+    return 100 * repeated_words(t.hashes, 10) > 40 * t.n_words
 
 
 BASE_RULES: tuple[Callable[[Text], bool], ...] = (too_short, repetitive)
-RULES: tuple[Callable[[Text], bool], ...] = (*BASE_RULES, symbols, repeated_lines, word_length, shouting, few_kinds)
+RULES: tuple[Callable[[Text], bool], ...] = (
+    *BASE_RULES, looping_phrases, looping_sentences, few_kinds, one_word, few_characters, symbols, repeated_lines, word_length, shouting,
+)
 
 
 def rule_figures(docs: DataFrame, rules: tuple[Callable[[Text], bool], ...] = RULES) -> dict[str, tuple[float, float]]:
@@ -122,11 +163,22 @@ def ordered(rules: tuple[Callable[[Text], bool], ...], figures: dict[str, tuple[
     return sorted(rules, key=worth, reverse=True)
 
 
+def expected_seconds(order: list[Callable[[Text], bool]], figures: dict[str, tuple[float, float]]) -> float:
+    """Seconds a text of rules in an order, were they to reject texts independently."""
+    total, still = 0.0, 1.0
+    for rule in order:
+        seconds, rejected = figures.get(rule.__name__, (0.0, 0.0))
+        total += still * seconds
+        still *= 1 - rejected
+    return total
+
+
 def judged(docs: DataFrame, rules: tuple[Callable[[Text], bool], ...] = RULES) -> DataFrame:
     """Per row: doc_id, base measures, base_failed, kept, and how many rules ran (rules_run varies with the order).
 
     A null or empty text has no words and fails the base. Repeated rows get one result each; null ids stay null;
-    an empty table gives no rows; columns besides doc_id and text are not read.
+    an empty table gives no rows; columns besides doc_id and text are not read. Texts of any length are judged whole.
+    Rules of equal worth run in the given order.
     """
     tune(docs.sparkSession)
     cascade = ordered(rules, rule_figures(docs, rules))

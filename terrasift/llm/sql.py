@@ -70,25 +70,35 @@ with s as (
 select doc_id, size, source_size, target, cast((whole + case when p > 0 and used + size / 2 <= left_words then 1 else 0 end) * size as bigint) taken from c
 """
 
+
+
+def _again(k: int) -> str:
+    """DuckDB: (doc_id, n) of words in windows of k words that are found twice or more in the text, from d(doc_id, ws)."""
+    return f"""select doc_id, cast(count(distinct i + k) as bigint) n from (
+      select doc_id, i, count(*) over (partition by doc_id, w) times from (
+        select doc_id, unnest(range(1, len(ws) - {k - 2})) i, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) w from d where len(ws) >= {k})
+    ), range({k}) o(k) where times > 1 group by doc_id"""
+
+
 OP7 = rf"""
 with d as (select doc_id, coalesce(text, '') t, {WORDS} ws, string_split(coalesce(text, ''), chr(10)) ls from documents),
 x as (select *, cast(len(ws) as bigint) n_words, list_distinct(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) kinds,
   cast(len(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) as bigint) full_lines from d),
-g as (select doc_id, i, count(*) over (partition by doc_id, w) n from (
-  select doc_id, unnest(range(1, len(ws) - 1)) i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) w from x where n_words >= 3)),
-r as (select doc_id, count(distinct i + k) n from g, (values (0), (1), (2)) o(k) where g.n > 1 group by 1),
+r3 as ({_again(3)}), r5 as ({_again(5)}), r10 as ({_again(10)}),
+o as (select doc_id, max(n) most from (select doc_id, w, count(*) n from (select doc_id, unnest(ws) w from d) group by all) group by 1),
 m as (
   select x.doc_id, n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars,
     cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols, full_lines - len(kinds) n_dup_lines,
-    cast(coalesce(r.n, 0) as bigint) n_repeat_words, len(ls) n_lines,
+    cast(coalesce(r3.n, 0) as bigint) n_repeat_words, coalesce(r5.n, 0) n5, coalesce(r10.n, 0) n10, len(ls) n_lines, coalesce(o.most, 0) most,
     length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) upper, length(t) - length(translate(t, 'abcdefghijklmnopqrstuvwxyz', '')) small,
-    len(list_distinct(ws)) n_kinds
-  from x left join r on r.doc_id = x.doc_id
+    len(list_distinct(ws)) n_kinds, len(list_distinct(string_split(t, ''))) n_characters
+  from x left join r3 on r3.doc_id = x.doc_id left join r5 on r5.doc_id = x.doc_id left join r10 on r10.doc_id = x.doc_id left join o on o.doc_id = x.doc_id
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > 3 * n_words or 2 * n_dup_lines > n_lines
-    or word_chars < 2 * n_words or word_chars > 15 * n_words or upper > small or (n_words <= 5000 and 20 * n_kinds < n_words)) kept
+    or word_chars < 2 * n_words or word_chars > 15 * n_words or upper > small or n_kinds * n_kinds < n_words
+    or 10 * most > 3 * n_words or n_characters < 12 or 100 * n5 > 45 * n_words or 100 * n10 > 40 * n_words) kept
 from m
 """
 
