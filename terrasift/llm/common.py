@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where that is unset (as in tests)."""
+    """The folder in spark.checkpoint.dir, or where that is unset and all runs on this machine, a local one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_terrasift_dir", None)
     if made is None:
         made = f"file://{tempfile.mkdtemp(prefix='terrasift-')}"
@@ -110,7 +111,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept while there are few enough."""
 
-    most = 400_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -151,14 +152,3 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
 def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a lower-cased text."""
     return np.unique(windows(word_hashes(text.lower().split()), k))
-
-
-def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)

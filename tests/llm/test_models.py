@@ -74,30 +74,43 @@ def test_lm_probabilities_sum_to_one_and_gradients_are_right():
 
 
 def test_lm_state_crosses_windows():
-    """Scores don't depend on which documents share the slots."""
+    """Scores don't depend on which documents share the streams, and are those of a plain loop over the words."""
     lex = lexicon()
     shape = recurrent_lm.Shape(lex.size, lex.n_classes, recurrent_lm.WIDTH)
     net = recurrent_lm.Network(lex, shape, lex.first_model(shape) * 3)
-    texts = [np.append(np.random.default_rng(i).integers(0, lex.size, 5 + 13 * i), lex.end).astype(np.int32) for i in range(7)]
-
-    def run(stream):
-        sums, slots = {}, recurrent_lm.Slots(iter(stream), lex.end, recurrent_lm.WIDTH)
-        for x, y, fresh, live, pieces, _ in slots.windows():
-            hs, _ = net.states(x, fresh, slots.h, False)
-            slots.h = hs[-1]
-            p = net.output(hs.reshape(-1, recurrent_lm.WIDTH), y.ravel(), False)[0].reshape(x.shape)
-            for i, a, b, key in pieces:
-                sums[key] = sums.get(key, 0) + float(p[a:b, i].sum())
-        return sums
-
-    together = run(enumerate(texts))
+    texts = [np.append(np.random.default_rng(i).integers(0, lex.size - 1, 5 + 13 * i), lex.end).astype(np.int32) for i in range(7)]
+    texts = [np.where(t[:-1] == lex.end, 0, t[:-1]).tolist() + [lex.end] for t in texts]
+    texts = [np.array(t, lex.kind) for t in texts]
+    together = recurrent_lm.Streams(texts, lex.end, 3).sums(net)
+    p, w = net.p, net.width
     for i, t in enumerate(texts):
-        assert run([(i, t)])[i] == pytest.approx(together[i], rel=1e-4)
+        h, total, last = np.zeros(w), 0.0, lex.end
+        for y in t.tolist():
+            g = p["e"][last]
+            z, r = np.split(1 / (1 + np.exp(-(g[: 2 * w] + h @ p["u"]))), 2)
+            h = (1 - z) * h + z * np.tanh(g[2 * w :] + (r * h) @ p["un"])
+            h1 = np.append(h, 1)
+            a, k = p["wc"] @ h1, lex.cls[y]
+            lo, hi = lex.start[k], lex.start[k + 1]
+            b = p["ww"][lo:hi] @ h1
+            total += a[k] - np.log(np.exp(a).sum()) + b[y - lo] - np.log(np.exp(b).sum())
+            last = y
+        assert together[i] == pytest.approx(total, rel=1e-4)
+        assert recurrent_lm.Streams([t], lex.end).sums(net)[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_chunks_leave_nothing_out(monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "CHUNK", 50)
+    rows = [(i, np.zeros(n)) for i, n in enumerate([10, 60, 1, 1, 49, 200, 3])]
+    got = list(recurrent_lm.chunks(iter(rows)))
+    assert [k for keys, _ in got for k in keys] == list(range(7)) and len(got) == 4
 
 
 def test_lm_edges(docs):
     got = {r.doc_id: r for r in recurrent_lm.scored(docs([(1, None), (2, "a b a"), (None, ""), (3, "a b c")])).collect()}
     assert got[1].n_tokens == 1 and got[None].n_tokens == 1 and got[2].n_tokens == 4
+    twice = recurrent_lm.scored(docs([(1, "a b"), (1, "a b"), (2, "c " * 40_000)])).collect()
+    assert sorted(r.n_tokens for r in twice) == [3, 3, 40_001] and len({r.score for r in twice if r.doc_id == 1}) == 1
     assert recurrent_lm.scored(docs([])).count() == 0
 
 
@@ -105,14 +118,14 @@ def test_toxicity_on_held_out_rows(table):
     d = "/root/testdata/sf0.1"
     got = toxicity.scored(table("documents", d), table("labels", d)).join(table("labels", d), "doc_id").where("held_out").toPandas()
     hit = got[got.toxic == 1].predicted
-    assert hit.mean() > 0.75 and got[got.toxic == 0].predicted.mean() < 0.01
+    assert hit.mean() >= 0.9 and got[got.toxic == 0].predicted.mean() < 0.01
     assert got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()
 
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     vectors = toxicity.Vectors([(f"f{i}", float(w)) for i, w in enumerate(rng.uniform(1, 6, 40))])
-    draw = lambda: tuple(sorted({int(f): int(n) for f, n in zip(rng.integers(0, 40, 6), rng.integers(1, 4, 6), strict=True)}.items())[: rng.integers(0, 7)])
+    draw = lambda: tuple(sorted({int(f): int(n) for f, n in zip(rng.integers(0, 40, 6), rng.integers(1, 4, 6), strict=True)}.items())[: rng.integers(0, 7)]) + ((40, int(rng.integers(0, 14))),)
     examples = [(draw(), int(rng.integers(0, 2)), 1, i) for i in range(1000)]
     index = toxicity.BlockMax(vectors, examples)
     full = [dict(vectors.vector(e[0])) for e in examples]

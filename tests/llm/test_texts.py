@@ -1,6 +1,7 @@
 """Operators on single texts against brute force, libraries and SQL."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -95,6 +96,28 @@ def test_line_dedup_levels_and_repeats(docs):
     assert line_runs.without_shared_lines(docs([])).count() == 0
 
 
+def test_batches_meet_the_settled_run(spark, monkeypatch):
+    """Nine batches: compactions on two levels, and later batches leave out what had settled before."""
+    from pyspark.sql import functions as F
+
+    made, written = [], []
+    init = line_runs.SortedRuns.__init__
+    monkeypatch.setattr(line_runs.SortedRuns, "__init__", lambda self, *a, **b: (made.append(self), init(self, *a, **b))[1])
+    add = line_runs.SortedRuns.add
+
+    def counting(self, counts):
+        before = self.settled
+        add(self, counts)
+        written.append((before is not None, None if before is None else self._unsettled(counts).count(), counts.count()))
+
+    monkeypatch.setattr(line_runs.SortedRuns, "add", counting)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("shared\n"), F.col("id").cast("string")).alias("text"))
+    got = line_runs.without_shared_lines(docs)
+    assert made[0].compactions == 4 and [len(x) for x in made[0].levels] == [0, 0, 1]
+    assert [x[0] for x in written] == [False] * 3 + [True] * 6 and all(all_ - left == 1 for old, left, all_ in written if old)
+    assert {r.text for r in got.collect()} == {str(i) for i in range(600)}
+
+
 def shared_out(sizes):
     """Targets by the rule as it is told: share by weight, stop at three times, share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -154,6 +177,10 @@ def test_quality(docs):
     figures = {r.__name__: (1.0, 0.1) for r in quality_cascade.RULES} | {"shouting": (0.1, 0.1), "symbols": (1.0, 0.0)}
     order = [r.__name__ for r in quality_cascade.ordered(quality_cascade.RULES, figures)]
     assert order[0] == "shouting" and order[-1] == "symbols"
+    figures = {r.__name__: (10.0 if "looping" in r.__name__ else 1.0, 0.05 * (i + 1)) for i, r in enumerate(quality_cascade.RULES)}
+    chosen = quality_cascade.ordered(quality_cascade.RULES, figures)
+    assert quality_cascade.expected_seconds(chosen, figures) < 0.6 * quality_cascade.expected_seconds(list(quality_cascade.RULES), figures)
+    assert max(x.rules_run for x in got) == len(quality_cascade.RULES) and min(x.rules_run for x in got) == 1
     assert quality_cascade.judged(docs([])).count() == 0
 
 
