@@ -1,13 +1,20 @@
-"""A training corpus from `documents`: five stages, each written as Parquet and reread as the next one's docs."""
+"""A training corpus from `documents`: five stages, each written as Parquet and reread as the next one's docs.
+
+When a stage starts, it first drops what former stages have stored on the way, unless docs still reads it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from terrasift.llm import bpe_tree, jaccard_join, line_runs, pareto_mix, toxicity
-from terrasift.llm.common import table_path
+from terrasift.llm.common import Scratch, table_path
 from terrasift.llm.queries import tokenizer_path
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of toxicity, by labels outside the held-out fold."""
@@ -38,12 +45,25 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(docs, tokenizer_path())
 
 
+_scratch = Scratch()
+
+
+def alone(stage: Stage) -> Stage:
+    """A stage that first drops what former ones stored on their way, and docs, once written, does not read."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.drop(docs)
+        return _scratch.of(lambda: stage(spark, docs, sf_dir))
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_shared_lines),
-    ("ngram_jaccard_join", keep_one_of_each),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("toxicity", alone(drop_toxic)),
+    ("line_dedup", alone(drop_shared_lines)),
+    ("ngram_jaccard_join", alone(keep_one_of_each)),
+    ("mixing", alone(mix_sources)),
+    ("bpe", alone(encode)),
 ]
 
 #: The first stage learns a model, which SQL can't express: tests hold the stages against brute force.
