@@ -12,27 +12,37 @@ several shingles, so a passage or line that many documents share rarely makes a
 with fewer shared tokens than it needs for a link leaves before anything is compared.
 
 Stars come first, so that the work stays linear in a group of copies: each token's documents are compared with one
-of them only, in two turns. Linked ones form components, cut into groups of bounded size, and the matrix joins
-documents with the groups of other components alone. Links within a component change no result and are not
-looked for.
+of them only, in two turns. Linked ones form components, and links within a component change no result and are not
+looked for. The matrix then finds the links between components. Documents that may have any are sorted by a sketch
+of their tokens, so that similar ones are neighbours whether they are linked or not, and cut into groups; groups
+that follow each other form a bundle. A document's rarest tokens name the bundles in which it may have a partner; a
+bundle's matrix of tokens and groups bounds the document's overlap with each union, and only groups at the bound
+are opened. So a passage that many documents share costs a row for each document and bundle, not for each pair: as
+a bundle has up to 4096 members, that is the square's 4096th part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import _MIX, dropped, mixed, shingles, stored, texts, tune
+from terrasift.llm.common import _MIX, _hashes, dropped, keep_only, mixed, release, shingles, stored, texts, tune
 from terrasift.llm.components import components
 
-#: Members of a group of the matrix, and queries that one task compares with a group before it is cut.
-GROUP_MEMBERS, GROUP_QUERIES = 64, 512
+#: A group holds GROUP_TOKENS of its members' tokens, a bundle as many groups; an item counts for LEAST_TOKENS at least, so a group has 64 members at most.
+GROUP_TOKENS, BUNDLE_GROUPS, LEAST_TOKENS = 1 << 14, 64, 256
+#: Queries that one task compares with a group or bundle before they are dealt to several.
+GROUP_QUERIES = 512
 #: Ids up to this number (16 MB) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 CLASS_RATIO = 1.5
@@ -91,6 +101,7 @@ def sketches(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parts", pa.list_(pa.struct([("meta", pa.int64()), ("tokens", pa.list_(pa.int64()))])))])
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("words", _hashes.clear)
         for b in it:
             n, s1, s2, parts = [], [], [], []
             for t in texts(b):
@@ -132,9 +143,11 @@ def shared_tokens(reps: DataFrame) -> DataFrame:
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = rows.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_repeated, rows.schema)
     near = stored(near, "tokens")
+    release(reps.sparkSession)
     enough = near.groupBy("doc", "meta").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("meta") % META).select("doc", "meta")
     out = stored(near.join(enough, ["doc", "meta"], "left_semi").select("token", "doc", "meta"), "tokens")
     dropped(near)
+    release(reps.sparkSession)
     return out
 
 
@@ -145,38 +158,50 @@ def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return t.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
 
+def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], Iterator[tuple]]]:
+    """Rows sorted by (at, chunk, kind): of each (at, chunk) the members (kind 0), and an iterator of its queries."""
+    rows = (row for b in it for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
+    for _, own in groupby(rows, itemgetter(0, 1)):
+        members, first = [], None
+        for row in own:
+            if row[2]:
+                first = row
+                break
+            members.append(row)
+        if first is not None and members:
+            yield members, chain((first,), own)
+
+
+def _dealt(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows at, chunk, kind and the others: queries in chunks of bounded size, the members with each chunk."""
+    sizes = asked.groupBy("at").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("chunks"))
+    few = F.pmod(F.xxhash64("doc", "of"), F.col("chunks"))
+    asked = asked.join(sizes, "at").select("at", few.alias("chunk"), F.lit(1).alias("kind"), *[c for c in asked.columns if c != "at"])
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    members = members.join(sizes, "at").select("at", every.alias("chunk"), F.lit(0).alias("kind"), *[c for c in members.columns if c != "at"])
+    return members.unionByName(asked)
+
+
+def _sorted(dealt: DataFrame) -> DataFrame:
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "at", "chunk").sortWithinPartitions("at", "chunk", "kind")
+
+
 def opened(docs: DataFrame, members: DataFrame, asked: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """Links (a, b) between queries and the members of their groups.
+    """Links (a, b) between queries and the members of their groups, both (at, of, doc): of is a document's component.
 
-    members: (g, doc, comp), asked: (g, doc, comp). A group's queries are cut into chunks of bounded size, and its
-    members go with each chunk. A worker holds one group's sets and their union at a time, and one query.
+    Texts travel to the groups that are opened and are cut into shingles there: packed, they take less room than
+    sets of hashes do. A worker holds one group's sets at a time, and one query. A query is linked with one member of
+    a component at most.
     """
-    sizes = asked.groupBy("g").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("chunks"))
-    asked = asked.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks"))).select("g", "chunk", F.lit(1).alias("kind"), "doc", "comp")
-    members = members.join(sizes, "g").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("g", "chunk", F.lit(0).alias("kind"), "doc", "comp")
-    rows = stored(members.unionByName(asked), "asked")
-    with_text = rows.join(_pick(docs, rows.select("doc").distinct()), "doc").select("g", "chunk", "kind", "doc", "comp", "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_text.repartition(n, "g", "chunk").sortWithinPartitions("g", "chunk", "kind")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, union = None, [], None
-        for b in it:
-            a, c = [], []
-            columns = [b.column(i).to_pylist() for i in range(5)]
-            for g, chunk, kind, doc, comp, text in zip(*columns, texts(b), strict=True):
-                if (g, chunk) != at:
-                    at, group, union = (g, chunk), [], None
-                h = shingles(text, k)
-                if kind == 0:
-                    group.append((doc, comp, h))
-                    continue
-                if union is None:
-                    union = group[0][2] if len(group) == 1 else np.unique(np.concatenate([x[2] for x in group])) if group else h[:0]
-                if _common(h, union) < scheme.least_common(len(h)) or not len(h):
-                    continue
-                found = set()
-                for other, of, s in group:
+        a, c = [], []
+        for members, queries in _grouped(it):
+            group = [(of, doc, shingles(raw, k)) for _, _, _, of, doc, raw in members]
+            for _, _, _, comp, doc, raw in queries:
+                h, found = shingles(raw, k), set()
+                for of, other, s in group:
                     if of in found or of == comp or other == doc or min(len(s), len(h)) * scheme.den < max(len(s), len(h)) * scheme.num:
                         continue
                     both = _common(h, s)
@@ -184,10 +209,76 @@ def opened(docs: DataFrame, members: DataFrame, asked: DataFrame, k: int, scheme
                         a.append(doc)
                         c.append(other)
                         found.add(of)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
-
-    out = stored(dealt.mapInArrow(work, "a long, b long"), "links")
+            if len(a) > 1000:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+                a, c = [], []
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+
+    # The rows are told apart before texts join them, and the texts then go straight to where they are read.
+    rows = stored(_dealt(members.select("at", "of", "doc"), asked.select("at", "of", "doc")), "asked")
+    full = rows.join(_pick(docs, rows.select("doc").distinct()), "doc").select("at", "chunk", "kind", "of", "doc", F.col("text").cast("binary").alias("raw"))
+    out = stored(_sorted(full).mapInArrow(work, "a long, b long"), "links")
     dropped(rows)
+    release(docs.sparkSession)
+    return out
+
+
+def qualifying(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    """(at, of, doc, meta) of the groups whose union shares `need` tokens with a query. groups: (at: bundle, of: group, tokens), asked: (at, of: component, doc, meta, tokens)."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members, queries in _grouped(it):
+            ids = np.array([m[3] for m in members], np.int64)
+            sizes = [len(m[6]) for m in members]
+            # The bundle's matrix: a row for each token and group, in order of tokens.
+            tokens, group = np.concatenate([np.array(m[6], np.int64) for m in members]), np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(tokens)
+            tokens, group = tokens[order], group[order]
+            at, of, docs, metas = [], [], [], []
+            for _, _, _, comp, doc, meta, own in queries:
+                q = np.array(own, np.int64)
+                lo, hi = np.searchsorted(tokens, q), np.searchsorted(tokens, q, "right")
+                n = hi - lo
+                rows = np.repeat(hi - n.cumsum(), n) + np.arange(n.sum())
+                found = ids[np.bincount(group[rows], minlength=len(ids)) >= meta % META].tolist()
+                at += found
+                of += [comp] * len(found)
+                docs += [doc] * len(found)
+                metas += [meta] * len(found)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in (("at", at), ("of", of), ("doc", docs), ("meta", metas))})
+
+    members = groups.select("at", "of", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("meta"), "tokens")
+    return _sorted(_dealt(members, asked.select(*members.columns))).mapInArrow(work, "at long, of long, doc long, meta long")
+
+
+def _measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, of, meta, tokens) in order, with the number of their task and the tokens that stand before them in it."""
+    part, before = TaskContext.get().partitionId(), 0
+    for b in it:
+        sizes = np.maximum(pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False), LEAST_TOKENS).astype(np.int64)
+        ends = before + np.cumsum(sizes)
+        before = int(ends[-1]) if len(ends) else before
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(sizes), part, np.int64)), pa.array(ends - sizes), pa.array(sizes)], names=[*b.schema.names, "part", "before", "size"])
+
+
+def in_groups(items: DataFrame) -> DataFrame:
+    """items (doc, of, meta, tokens) with the group g and bundle of each: items of one size class, similar ones together.
+
+    Groups and bundles are cut from one order of all items, so they are as many as the tokens ask for, however many
+    tasks there are.
+    """
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The least hashes of a set are a sketch of it (MinHash).
+    order = ["class", "m1", "m2", "doc"]
+    near = items.withColumns({"class": F.floor(F.col("meta") / META), "m1": F.array_min("tokens"), "m2": F.array_max("tokens")}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    measured = stored(near.select("doc", "of", "meta", "tokens").mapInArrow(_measured, "doc long, of long, meta long, tokens array<long>, part long, before long, size long"), "measured")
+    # A row a task.
+    totals = measured.groupBy("part").agg(F.sum("size").alias("total"))
+    starts = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    at = F.col("start") + F.col("before")
+    cut = measured.join(F.broadcast(starts), "part").select("doc", "of", "meta", "tokens", F.floor(at / GROUP_TOKENS).alias("g"), F.floor(at / (GROUP_TOKENS * BUNDLE_GROUPS)).alias("bundle"))
+    out = stored(cut, "items")
+    dropped(measured)
     return out
 
 
@@ -204,10 +295,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _star_links(docs: DataFrame, tokens: DataFrame, order: Column, k: int, scheme: Scheme) -> DataFrame:
     """Links between each token's documents and its pivot, the first in an order, unless one component has both."""
     pivots = tokens.groupBy("token").agg(F.min_by(F.struct("doc", "comp"), order).alias("pivot"))
-    stars = tokens.join(pivots, "token").where(F.col("comp") != F.col("pivot.comp")).select("doc", "comp", F.col("pivot.doc").alias("g"), F.col("pivot.comp").alias("of")).distinct()
+    stars = tokens.join(pivots, "token").where(F.col("comp") != F.col("pivot.comp")).select(F.col("pivot.doc").alias("at"), F.col("pivot.comp").alias("pivot"), F.col("comp").alias("of"), "doc").distinct()
     stars = stored(stars, "stars")
-    leaders = stars.select("g", F.col("g").alias("doc"), F.col("of").alias("comp")).distinct()
-    return opened(docs, leaders, stars.select("g", "doc", "comp"), k, scheme)
+    leaders = stars.select("at", F.col("pivot").alias("of"), F.col("at").alias("doc")).distinct()
+    out = opened(docs, leaders, stars, k, scheme)
+    dropped(stars)
+    return out
 
 
 def _labelled(tokens: DataFrame, comp: DataFrame) -> DataFrame:
@@ -217,33 +310,30 @@ def _labelled(tokens: DataFrame, comp: DataFrame) -> DataFrame:
     return out.join(several, "token", "left_semi")
 
 
-def _matrix_links(docs: DataFrame, labelled: DataFrame, sizes: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """Links between documents and groups of other components, by the token-group matrix.
+def _matrix_links(docs: DataFrame, labelled: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """Links between documents of different components, by the token-group matrix.
 
-    A document that must share `need` of its n tokens with a group shares one of its n - need + 1 rarest, so only
-    those look for groups. The overlap with each group found is then counted over all tokens, and only groups
-    with `need` are opened.
+    A document that must share `need` of its n tokens with a union shares one of its n - need + 1 rarest, so only
+    those name bundles.
     """
-    docs_of = labelled.select("doc", "comp").distinct()
-    chunks = docs_of.groupBy("comp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).alias("chunks"))
-    groups = stored(docs_of.join(chunks, "comp").select("doc", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.col("chunks"))).alias("g")).join(sizes, "doc"), "groups")
-    spans = groups.groupBy("g").agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"))
-    matrix = stored(labelled.join(groups.select("doc", "g"), "doc").select("token", "g", F.col("comp").alias("g_comp")).distinct().join(spans, "g"), "matrix")
-    often = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    items = in_groups(labelled.groupBy("doc", F.col("comp").alias("of"), "meta").agg(F.collect_set("token").alias("tokens")))
+    each = items.select("bundle", "doc", "meta", F.explode("tokens").alias("token"))
+    bundles = each.groupBy("token").agg(F.collect_set("bundle").alias("bundles"))
     own = W.partitionBy("doc", "meta")
     rare = (
-        labelled.join(often, "token").join(sizes, "doc")
-        .withColumn("nth", F.row_number().over(own.orderBy("groups", "token"))).withColumn("n", F.count("*").over(own))
+        each.select("doc", "meta", "token").join(bundles, "token")
+        .withColumn("nth", F.row_number().over(own.orderBy(F.size("bundles"), "token"))).withColumn("n", F.count("*").over(own))
         .where(F.col("nth") <= F.col("n") - F.col("meta") % META + 1)
     )
-    fits = (F.col("g_hi") * scheme.den >= F.col("lo") * scheme.num) & (F.col("hi") * scheme.den >= F.col("g_lo") * scheme.num)
-    found = rare.join(matrix, "token").where((F.col("comp") > F.col("g_comp")) & fits).select("doc", "comp", "meta", "g").distinct()
-    rows = labelled.groupBy("doc", "meta").agg(F.collect_list("token").alias("own"))
-    unions = matrix.groupBy("g").agg(F.collect_list("token").alias("union"))
-    overlap = found.join(rows, ["doc", "meta"]).join(unions, "g").where(F.size(F.array_intersect("own", "union")) >= F.col("meta") % META)
-    overlap = stored(overlap.select("g", "doc", "comp").distinct(), "overlap")
-    members = groups.join(overlap.select("g").distinct(), "g", "left_semi").select("g", "doc", "comp")
-    return opened(docs, members, overlap, k, scheme)
+    # The bundles of all these tokens are put together before they become rows.
+    found = rare.groupBy("doc", "meta").agg(F.array_distinct(F.flatten(F.collect_list("bundles"))).alias("bundles")).select("doc", "meta", F.explode("bundles").alias("bundle"))
+    asked = found.join(items.select("doc", "of", "meta", "tokens"), ["doc", "meta"]).select(F.col("bundle").alias("at"), "of", "doc", "meta", "tokens")
+    groups = items.groupBy("bundle", "g").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")).select(F.col("bundle").alias("at"), F.col("g").alias("of"), "tokens")
+    bound = stored(qualifying(groups, asked), "bound")
+    members = items.join(bound.select(F.col("at").alias("g")).distinct(), "g", "left_semi").select(F.col("g").alias("at"), "of", "doc")
+    out = opened(docs, members, bound, k, scheme)
+    dropped(items, bound)
+    return out
 
 
 def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -261,6 +351,10 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     classes = stored(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "classes")
     reps = known.join(classes.select("s1", "s2", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
     tokens = shared_tokens(reps)
+    # From here on only the sets' names and sizes are asked for.
+    named = stored(all_sets.drop("parts"), "names")
+    dropped(all_sets)
+    all_sets, known = named, named.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
 
     # Stars: each token's documents against one of them, at first the smallest, then another where components differ.
     links = _star_links(docs, tokens.withColumn("comp", F.col("doc")), F.col("doc"), k, scheme)
@@ -271,11 +365,12 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     left = stored(_labelled(tokens, comp).select("doc").distinct(), "left")
     fine_sets = stored(sketches(_pick(docs, left).withColumnRenamed("doc", "doc_id"), k, Scheme(num, den, FINE)), "fine")
     fine = shared_tokens(fine_sets)
-    sizes = fine_sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    dropped(fine_sets)
     labelled = _labelled(fine, comp)
     enough = labelled.groupBy("doc", "meta").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("meta") % META).select("doc", "meta")
     labelled = stored(labelled.join(enough, ["doc", "meta"], "left_semi"), "labelled")
-    links = links.unionByName(_matrix_links(docs, labelled, sizes, k, scheme))
+    links = links.unionByName(_matrix_links(docs, labelled, k, scheme))
+    dropped(tokens, left, fine, labelled)
 
     same = known.join(classes.select("s1", "s2", F.col("doc_id").alias("rep")), ["s1", "s2"]).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(same))
