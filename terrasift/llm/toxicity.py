@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import crc_mod, texts, tune
+from terrasift.llm.common import crc_mod, keep_only, texts, tune
 
 #: The classifier is fitted on so many labelled training rows at most (drawn by id hash).
 MAX_LABELLED = 20_000
-MAX_FEATURES, NEIGHBOURS, BLOCK = 4000, 12, 128
+MAX_FEATURES, NEIGHBOURS, BLOCK = 4000, 12, 256
 STARTS = (3, 4, 5, 6, 7, 8)
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_`~=+/\\"
 THRESHOLD = 0.7
@@ -112,20 +112,26 @@ class BlockMax:
         """(cosine, example) of the k nearest, ties by example; `without` is left out."""
         q = [(f, w) for f, w in self.vectors.vector(counts) if f in self.post]
         bound = sum((w * self.most[f] for f, w in q), np.zeros(self.blocks))
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        best, ids_of = np.empty(0), np.empty(0, np.int64)
+        for b in np.argsort(-bound, kind="stable").tolist():
+            full = len(best) == k
+            if full and bound[b] < best[-1] - 1e-12:
                 break
-            low, score = int(b) * BLOCK, np.zeros(BLOCK)
+            low, score = b * BLOCK, np.zeros(BLOCK)
             for f, w in q:
                 ids, weights, cut = self.post[f]
                 x, y = cut[b], cut[b + 1]
                 if y > x:
                     score[ids[x:y] - low] += w * weights[x:y]
-            size = min(BLOCK, len(self.ids) - low)
-            got = [(round(float(score[i]), 12), low + i) for i in range(size) if low + i != without and score[i] > 0]
-            best = sorted(best + got, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            score = score.round(12)
+            if low <= without < low + BLOCK:
+                score[without - low] = 0.0
+            at = np.flatnonzero(score >= best[-1] if full else score > 0)
+            if len(at):
+                s, i = np.concatenate([best, score[at]]), np.concatenate([ids_of, low + at])
+                first = np.lexsort((i, -s))[:k]
+                best, ids_of = s[first], i[first]
+        return list(zip(best.tolist(), ids_of.tolist(), strict=True))
 
     def votes(self, near: list[tuple[float, int]], own: tuple[int, int] | None = None) -> float:
         """Share of label 1 among the neighbours, weighed by distance. own: an example and its label, of which one vote is left out."""
@@ -214,6 +220,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     # As many rows as max_labelled at most, of a few features each.
     equal = rows.groupBy("f", "n").agg(F.sum("toxic").alias("pos"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")).orderBy("doc_id", "f").collect()
     examples = [(tuple(zip(r.f, r.n, strict=True)), r.pos, r.rows, r.doc_id) for r in equal]
+    # Examples of which features are as large a part are neighbours: so blocks differ in what they reach at most.
+    examples.sort(key=lambda e: -vectors.vector(e[0])[-1][1])
     index = BlockMax(vectors, examples)
     x, y, weight = [], [], []
     for i, (counts, up, n, _) in enumerate(examples):
@@ -237,6 +245,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_labelled))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity", int)
         for b in it:
             got = [model.value.score(t) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -251,6 +260,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity", int)
         for b in it:
             yield b.filter(pa.array([model.value.score(t)[0] < threshold for t in texts(b)], pa.bool_()))
 
