@@ -122,10 +122,10 @@ class SortedRuns:
             run.drop()
 
 
-def text_key() -> list[Column]:
+def text_key(keys: Column) -> list[Column]:
     """128 bits of the keys of a text's lines that are not empty: texts that differ in case or outer white space share them."""
-    keys = F.filter(F.transform(F.split(text_or_empty(), "\n", -1), line_key), lambda k: F.length(k) > 0)
-    return [F.xxhash64(keys).alias("t1"), F.xxhash64(F.lit(7), keys).alias("t2")]
+    full = F.filter(keys, lambda k: k != "")
+    return [F.xxhash64(full).alias("t1"), F.xxhash64(F.lit(7), full).alias("t2")]
 
 
 def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int | None = None, by_text: bool = False) -> DataFrame:
@@ -139,8 +139,13 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, n_batches: int | None = No
     n_batches = n_batches or max(LEAST_BATCHES, math.isqrt(n_docs // BATCH_DOCS))
     of = ["t1", "t2"] if by_text else ["r1", "r2"]
     keys = ["r1", "r2", *(of if by_text else [])]
-    rows = docs.select(*row_key(), *(text_key() if by_text else []), text_or_empty().alias("t"))
-    each = rows.select(*keys, F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).select(*keys, "pos", line_key(F.col("line")).alias("key"))
+    split = F.split(text_or_empty(), "\n", -1)
+    if by_text:
+        # A column of its own, so that the keys are computed once.
+        rows = docs.select(*row_key(), F.transform(split, line_key).alias("lines")).select("r1", "r2", *text_key(F.col("lines")), "lines")
+        each = rows.select(*keys, F.posexplode("lines").alias("pos", "key"))
+    else:
+        each = docs.select(*row_key(), F.posexplode(split).alias("pos", "line")).select(*keys, "pos", line_key(F.col("line")).alias("key"))
     lines = each.where(F.length("key") > 0).select(*keys, "pos", *key_hash(F.col("key")), F.pmod(F.col(of[0]), F.lit(n_batches)).cast("int").alias("batch"))
     lines = stored(lines, "lines", ("batch",))
     runs = SortedRuns(spark, min_docs)
