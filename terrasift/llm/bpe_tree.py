@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrasift.llm.common import tune
+from terrasift.llm.common import keep_only, tune
 
 #: Fixed value: the pattern by which byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,6 +188,7 @@ _codecs: dict[str, Codec] = {}
 
 def codec(spec: str) -> Codec:
     """One codec per worker and file."""
+    keep_only("codecs", _codecs.clear)
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _codecs:
         _codecs[key] = Codec(spec)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,39 @@ def dropped(*frames: DataFrame) -> None:
                 drop_path(df.sparkSession, root)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are done: it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """The tables that calls of a function store, to be dropped once its result has been written."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def of(self, f: Callable[[], DataFrame]) -> DataFrame:
+        mark = len(_tables)
+        out = f()
+        self.paths += _tables[mark:]
+        return out
+
+    def drop(self, docs: DataFrame) -> None:
+        """Drop the tables but for those that docs reads."""
+        if not self.paths:
+            return
+        read = docs.inputFiles()
+        for entry in list(self.paths):
+            name = entry[1].rsplit("/", 1)[1]
+            if not any(f"/{name}/" in f for f in read):
+                drop_path(*entry)
+                self.paths.remove(entry)
+                if entry in _tables:
+                    _tables.remove(entry)
+        release(docs.sparkSession)
+
+
 @atexit.register
 def _tidy() -> None:
     for spark, path in _tables:
@@ -121,6 +156,14 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, clear: Callable[[], None]) -> None:
+    """In a worker that operators take turns in: what the others keep goes, what `name` keeps can be cleared by `clear`."""
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+    _kept[name] = clear
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 

@@ -67,7 +67,8 @@ def test_join_is_exact(docs, seed, k, num):
 def test_matrix_round_alone_is_exact(docs, monkeypatch):
     """Without the stars every link is left to the token-group matrix."""
     monkeypatch.setattr(jaccard_join, "_star_links", lambda d, tokens, order, k, scheme: tokens.sparkSession.createDataFrame([], "a long, b long"))
-    monkeypatch.setattr(jaccard_join, "GROUP_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 3 * jaccard_join.LEAST_TOKENS)
+    monkeypatch.setattr(jaccard_join, "BUNDLE_GROUPS", 4)
     rows = corpus(3, 80)
     got = {r.doc_id: r.component_id for r in jaccard_join.joined(docs(rows), 4, 85, 100).collect()}
     assert got == brute(rows, 4, 85, 100)
@@ -119,6 +120,41 @@ def test_fingerprints_along_descending_ids(docs):
     assert fingerprints.with_next(docs([(1, "a b"), (1, "a b"), (None, "c")])).count() == 3
 
 
+def slow_fingerprint(text, bins=512, bits=4):
+    """A dictionary of bins, and each empty one asking the others in its order, one after the other."""
+    least = {}
+    for h in shingles((text or "").encode(), 5).tolist():
+        least[h >> 55] = min(h, least.get(h >> 55, h))
+    if not least:
+        return ""
+    digits = ""
+    for i, order in enumerate(fingerprints.orders().tolist()):
+        value = least[i] if i in least else next(least[j] for j in order if j in least)
+        digits += f"{value % 2**bits:x}"
+    assert len(digits) == bins
+    return digits
+
+
+def test_fingerprints_are_those_of_a_plain_loop(docs):
+    rows = [*corpus(9, 40), (30_000, "word " * 3000 + "é"), (30_001, None), (30_002, "a b")]
+    got = {r.doc_id: r for r in fingerprints.with_next(docs(rows)).collect()}
+    for i, t in rows:
+        assert got[i].fingerprint == slow_fingerprint(t)
+    a, b = slow_fingerprint(rows[0][1]), slow_fingerprint(rows[1][1])
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / 512
+    assert fingerprints.likeness(bytes.fromhex(a), bytes.fromhex(b)) == pytest.approx(min(1, max(0, (same - 1 / 16) / (15 / 16))))
+
+
+def test_fingerprints_as_a_column(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "")]
+    out = fingerprints.fingerprinted(docs(rows).withColumn("fingerprint", F.lit("clash")))
+    assert out.columns == [*docs(rows).columns, "fingerprint"]
+    assert sorted((r.doc_id or 0, r.fingerprint.hex()) for r in out.collect()) == sorted((i or 0, slow_fingerprint(t)) for i, t in rows)
+    assert fingerprints.fingerprinted(docs([])).count() == 0
+
+
 def test_fingerprints_estimate_jaccard():
     r = random.Random(6)
     off = []
