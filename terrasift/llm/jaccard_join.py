@@ -151,6 +151,22 @@ def shared_tokens(reps: DataFrame) -> DataFrame:
     return out
 
 
+def representatives(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of known that each class names by its rid, with its parts.
+
+    Parts are most of what a row holds, so it is the rows' numbers that move, as long as the fewer of those to keep
+    and those to leave out can be broadcast.
+    """
+    n = classes.agg(F.count("*").alias("kept"), F.sum("rows").alias("all")).first()
+    if n.kept <= BROADCAST_IDS:
+        return known.join(F.broadcast(classes.select("rid")), "rid", "left_semi")
+    if n.all - n.kept <= BROADCAST_IDS:
+        several = F.broadcast(classes.where("rows > 1").select("s1", "s2", F.col("rid").alias("lead")))
+        copies = known.select("rid", "s1", "s2").join(several, ["s1", "s2"]).where(F.col("rid") != F.col("lead")).select("rid")
+        return known.join(F.broadcast(copies), "rid", "left_anti")
+    return known.join(classes.select("rid"), "rid", "left_semi")
+
+
 def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, text) of the ids given."""
     few = ids.count() <= BROADCAST_IDS
@@ -346,13 +362,14 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     """
     tune(docs.sparkSession)
     scheme = Scheme(num, den)
-    all_sets = stored(sketches(docs, k, scheme), "sets")
+    all_sets = stored(sketches(docs, k, scheme).withColumn("rid", F.monotonically_increasing_id()), "sets")
     known = all_sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = stored(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "classes")
-    reps = known.join(classes.select("s1", "s2", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
+    first = F.min_by("rid", F.struct("doc_id", "rid")).alias("rid")
+    classes = stored(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), first, F.count("*").alias("rows")), "classes")
+    reps = representatives(known, classes)
     tokens = shared_tokens(reps)
     # From here on only the sets' names and sizes are asked for.
-    named = stored(all_sets.drop("parts"), "names")
+    named = stored(all_sets.drop("parts", "rid"), "names")
     dropped(all_sets)
     all_sets, known = named, named.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
 

@@ -74,6 +74,26 @@ def test_matrix_round_alone_is_exact(docs, monkeypatch):
     assert got == brute(rows, 4, 85, 100)
 
 
+def test_sets_do_not_move_to_pick_one_of_each_class(docs, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randint(0, 2000)}" for _ in range(r.choice([3, 20, 80])))) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(100, rows[0][1]), (3, rows[9][1]), (200, ""), (None, rows[1][1])]
+    want, plans, real = brute(rows, 5, 80, 100), [], jaccard_join.shared_tokens
+
+    def shared_tokens(reps):
+        plans.append(reps._jdf.queryExecution().executedPlan().toString())
+        return real(reps)
+
+    monkeypatch.setattr(jaccard_join, "shared_tokens", shared_tokens)
+    # The rows to keep, the rows to leave out, and neither can be broadcast.
+    for most, moves in ((1000, False), (20, False), (2, True)):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", most)
+        plans.clear()
+        got = {x.doc_id: x.component_id for x in jaccard_join.joined(docs(rows)).collect() if x.doc_id is not None}
+        assert all(got[i] == c for i, c in want.items()) and set(got) == set(want)
+        assert ("Exchange hashpartitioning" in plans[0]) <= moves
+
+
 def test_scheme_never_loses_a_pair():
     """A linked pair shares as many tokens of one class as both of its documents ask for."""
     r = np.random.default_rng(5)
