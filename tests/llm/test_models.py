@@ -73,6 +73,40 @@ def test_lm_probabilities_sum_to_one_and_gradients_are_right():
         assert moved[i] == pytest.approx((loss(p) - loss(q)) / 2e-3, rel=0.05, abs=2e-4)
 
 
+def test_lm_steps_are_those_of_a_plain_loop():
+    """Segments add up, a step is Adagrad's, weights stay in bounds though they are looked at now and then only, and wide scoring changes nothing."""
+    rng = np.random.default_rng(4)
+    ids = np.sort(rng.choice([1, 2, 3, 5, 8, 13, 21], 90, p=[0.4, 0.3, 0.15, 0.08, 0.04, 0.02, 0.01]))
+    shuffled = rng.permutation(90)
+    rows, order = rng.normal(size=(90, 6)), np.argsort(ids[shuffled], kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(ids) > 0]))
+    got = recurrent_lm.segment_sums(rows, order, first)
+    assert np.allclose(got, [rows[ids[shuffled] == i].sum(0) for i in np.unique(ids)])
+    n = recurrent_lm.BLOCK + 5
+    p, g, m = rng.normal(size=(3, n))
+    m = np.abs(m) + 1e-4
+    want = p - recurrent_lm.RATE * g / np.sqrt(m + g * g), m + g * g
+    recurrent_lm.adagrad(p, g.copy(), m, np.empty(recurrent_lm.BLOCK))
+    assert np.allclose(p, want[0]) and np.allclose(m, want[1])
+
+    lex = lexicon()
+    shape = recurrent_lm.Shape(lex.size, lex.n_classes, recurrent_lm.WIDTH)
+    net = recurrent_lm.Network(lex, shape, lex.first_model(shape))
+    looked = 0
+    for step in range(100):
+        net.p["ww"][3, 7] += recurrent_lm.RATE
+        net.p["wc"][1, 2] -= recurrent_lm.RATE
+        looked += net.free_steps == 0
+        net.bound_weights()
+        assert max(net.p["ww"][3, 7], -net.p["wc"][1, 2]) <= recurrent_lm.MOST_WEIGHT
+    assert looked < 90 and net.p["ww"][3, 7] == recurrent_lm.MOST_WEIGHT == -net.p["wc"][1, 2]
+
+    texts = [np.append(rng.integers(0, lex.size, n), lex.end).astype(lex.kind) for n in rng.integers(0, 90, 40)]
+    texts = [np.where(np.arange(len(t)) < len(t) - 1, np.where(t == lex.end, 0, t), t).astype(lex.kind) for t in texts]
+    wide, narrow = (recurrent_lm.Streams(texts, lex.end, n).sums(net) for n in (recurrent_lm.SCORED_STREAMS, 2))
+    assert np.allclose(wide, narrow, rtol=1e-4)
+
+
 def test_lm_state_crosses_windows():
     """Scores don't depend on which documents share the streams, and are those of a plain loop over the words."""
     lex = lexicon()
